@@ -70,3 +70,15 @@ def capture_date(mmddyy: Column) -> Column:
         F.substring(mmddyy, 3, 2),
     )
     return F.date_format(F.try_to_date(iso, "yyyy-MM-dd"), "yyyy-MM-dd")
+
+
+def day_number(day: Column) -> Column:
+    """`YYYY-MM-DD` as the integer YYYYMMDD, which orders the same and aggregates without sorting."""
+    return F.replace(day, F.lit("-"), F.lit("")).cast("int")
+
+
+def day_text(number: Column) -> Column:
+    text = F.lpad(number.cast("string"), 8, "0")
+    return F.concat(
+        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2)
+    )

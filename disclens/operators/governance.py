@@ -162,21 +162,22 @@ def denylist_hits(lines: DataFrame, needles: DataFrame) -> DataFrame:
     keyed = listed.withColumn("word", longest)
     low = lines.select("doc_id", "line_no", F.lower("line").alias("low"))
 
-    by_word = low.withColumn("word", F.explode(F.array_distinct(F.split("low", _BREAK, -1))))
-    hits = by_word.join(keyed.where(F.col("word").isNotNull()), "word").where(F.contains("low", F.col("needle")))
+    # Words leave without their line; the line is fetched again for the candidates alone.
+    words_of = low.select("doc_id", "line_no", F.explode(F.array_distinct(F.split("low", _BREAK, -1))).alias("word"))
+    met = words_of.join(keyed.where(F.col("word").isNotNull()), "word").select("doc_id", "line_no", "needle")
 
-    odd = keyed.where(F.col("word").isNull()).select(
-        "needle", F.left("needle", F.lit(GRAM)).alias("gram")
-    )
+    odd = keyed.where(F.col("word").isNull()).select("needle", F.left("needle", F.lit(GRAM)).alias("gram"))
     # At most GRAM different lengths, so the plan below only cuts what the list needs.
     sizes = sorted(r[0] for r in odd.select(F.length("gram")).distinct().collect())
-    found = hits.select("doc_id", "line_no", "needle")
     if sizes:
         grams = F.flatten(F.array(*[_grams(F.col("low"), k) for k in sizes]))
-        by_gram = low.withColumn("gram", F.explode(F.array_distinct(grams)))
-        more = by_gram.join(odd, "gram").where(F.contains("low", F.col("needle")))
-        found = found.unionByName(more.select("doc_id", "line_no", "needle"))
-    return found
+        grams_of = low.select("doc_id", "line_no", F.explode(F.array_distinct(grams)).alias("gram"))
+        met = met.unionByName(grams_of.join(odd, "gram").select("doc_id", "line_no", "needle"))
+    return (
+        low.join(met, ["doc_id", "line_no"])
+        .where(F.contains("low", F.col("needle")))
+        .select("doc_id", "line_no", "needle")
+    )
 
 
 def worth_keeping(value: Column) -> Column:

@@ -233,8 +233,7 @@ def _gathered(histogram: DataFrame) -> DataFrame:
         F.col("unit_amount").alias("amount"), "n", "first", "last", "shelved"
     )
     arrays = (
-        histogram.where(F.col("prices") <= GATHER_LIMIT)
-        .groupBy(*SERIES)
+        histogram.groupBy(*SERIES)
         .agg(F.array_sort(F.collect_list(price)).alias("prices"), F.first("points").alias("points"))
     )
     base = _base_columns(
@@ -271,9 +270,8 @@ def _gathered(histogram: DataFrame) -> DataFrame:
     )
 
 
-def _rowwise(histogram: DataFrame) -> DataFrame:
+def _rowwise(wide: DataFrame) -> DataFrame:
     """The same figures for products with too many distinct prices to gather."""
-    wide = histogram.where(F.col("prices") > GATHER_LIMIT)
     before = Window.partitionBy(*SERIES).orderBy("unit_amount").rowsBetween(Window.unboundedPreceding, -1)
     ordered = (
         wide.withColumn("seq", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
@@ -319,7 +317,7 @@ def _rowwise(histogram: DataFrame) -> DataFrame:
     )
 
 
-def product_prices(series: DataFrame, row_path: bool = True) -> DataFrame:
+def product_prices(series: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """PRC-05..08, 11: clusters, base price, multiples and end points, one row per product."""
     own = Window.partitionBy(*SERIES)
     histogram = stage(
@@ -327,8 +325,10 @@ def product_prices(series: DataFrame, row_path: bool = True) -> DataFrame:
         .withColumn("prices", F.count(F.lit(1)).over(own))
         .withColumn("points", F.sum("n").over(own))
     )
-    gathered = _gathered(histogram)
-    return gathered.unionByName(_rowwise(histogram)) if row_path else gathered
+    wide = histogram.where(F.col("prices") > gather_limit)
+    gathered = _gathered(histogram.where(F.col("prices") <= gather_limit))
+    # Answered from the staged file statistics where no product is that wide.
+    return gathered if wide.isEmpty() else gathered.unionByName(_rowwise(wide))
 
 
 # -- direction and shape ------------------------------------------------------
@@ -369,9 +369,9 @@ def trends(series: DataFrame) -> DataFrame:
     )
 
 
-def price_shape(series: DataFrame, row_path: bool = True) -> DataFrame:
+def price_shape(series: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """PRC-10: unit, multiple or weight, with the figures the verdict rests on."""
-    priced = product_prices(series, row_path)
+    priced = product_prices(series, gather_limit)
     scattered = (
         (F.col("biggest").cast("double") / F.col("points").cast("double") <= F.lit(REPEAT_SHARE))
         & (F.col("points") >= 4)

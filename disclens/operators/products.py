@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from disclens.fixed_values import INDEX_LIMIT, PURCHASE_TIERS, STALE_AFTER_DAYS
 from disclens.functions.amounts import product_key, purchase_amount
+from disclens.functions.dates import day_number, day_text
 from disclens.functions.labels import clean_label, handle_for, is_non_product, tier
 from disclens.operators.scale import attach, group_size, top_n
 from disclens.sources.staging import stage
@@ -22,6 +23,9 @@ def purchases(items: DataFrame) -> DataFrame:
 
 
 def dated_purchases(items: DataFrame, txns: DataFrame) -> DataFrame:
+    """JN-02: purchases with the day of their visit, joined only where the lines do not carry it."""
+    if "occurred_at" in items.columns:
+        return purchases(items).withColumn("on_date", F.left("occurred_at", F.lit(10)))
     visits = txns.select("txn_id", "occurred_at", F.left("occurred_at", F.lit(10)).alias("on_date"))
     return purchases(items).join(visits, "txn_id")
 
@@ -30,17 +34,23 @@ def spelling_votes(dated: DataFrame, key: str = "product_key") -> DataFrame:
     """Sightings per cleaned spelling of each product.
 
     A spelling that cleans away keeps its raw form. The raw spelling behind a
-    cleaned one is the shortest, then the first alphabetically.
+    cleaned one is the shortest, then the first alphabetically. Lines are first
+    counted per printed spelling, by hash and before any shuffle; names are
+    cleaned once per spelling and not once per line.
     """
+    day = day_number(F.col("on_date"))
+    printed = dated.groupBy("request_id", key, "upc", "description_raw").agg(
+        F.count(F.lit(1)).alias("sightings"), F.min(day).alias("first_day"), F.max(day).alias("last_day")
+    )
     raw = F.col("description_raw")
-    return dated.groupBy(
+    return printed.groupBy(
         "request_id", key, F.coalesce(F.nullif(clean_label(raw), F.lit("")), raw).alias("folded")
     ).agg(
-        F.count(F.lit(1)).alias("sightings"),
+        F.sum("sightings").alias("sightings"),
         F.min(F.struct(F.length(raw).alias("size"), raw.alias("raw"))).alias("shortest"),
         F.max(F.nullif(F.col("upc"), F.lit(""))).alias("upc"),
-        F.min("on_date").alias("first_seen"),
-        F.max("on_date").alias("last_seen"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
     )
 
 
@@ -55,13 +65,10 @@ def entries(votes: DataFrame, key: str = "product_key") -> DataFrame:
             best.alias("best"),
             F.max("upc").alias("upc"),
             F.sum("sightings").alias("purchases"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
         )
         .select(
             "request_id", key, "upc",
-            F.col("best.folded").alias("label"), F.col("best.raw").alias("raw"),
-            "purchases", "first_seen", "last_seen",
+            F.col("best.folded").alias("label"), F.col("best.raw").alias("raw"), "purchases",
         )
     )
 
@@ -101,8 +108,8 @@ def join_split(votes: DataFrame, heads: DataFrame) -> DataFrame:
         F.sum("sightings").alias("sightings"),
         F.min("shortest").alias("shortest"),
         F.max("upc").alias("upc"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
         F.max("joined").alias("joined"),
     )
     best = F.min(
@@ -115,13 +122,13 @@ def join_split(votes: DataFrame, heads: DataFrame) -> DataFrame:
             F.max("upc").alias("upc"),
             F.max("joined").alias("joined"),
             F.sum("sightings").alias("purchases"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
+            F.min("first_day").alias("first_day"),
+            F.max("last_day").alias("last_day"),
         )
         .select(
             "request_id", "key", "upc", "joined",
-            F.col("best.folded").alias("label"), F.col("best.raw").alias("raw"),
-            "purchases", "first_seen", "last_seen",
+            F.col("best.folded").alias("label"), F.col("best.raw").alias("raw"), "purchases",
+            day_text(F.col("first_day")).alias("first_seen"), day_text(F.col("last_day")).alias("last_seen"),
         )
     )
 
@@ -136,7 +143,7 @@ class Identity(NamedTuple):
 def identify(items: DataFrame, txns: DataFrame) -> Identity:
     """Product identity of every request, worked out once for index and prices alike."""
     votes = stage(spelling_votes(dated_purchases(items, txns)))
-    heads = stage(split_heads(entries(votes)))
+    heads = split_heads(entries(votes))
     refused = (clean_label(F.col("raw")) == "") | is_non_product(F.col("label"))
     dim = join_split(votes, heads).withColumn("refused", refused)
     return Identity(

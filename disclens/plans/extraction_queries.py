@@ -591,10 +591,10 @@ SECTION_VIEW = {
         f"""select doc_id, header, hit + length(header) as body_start, cast(coalesce(lead(hit) over
             (partition by doc_id order by hit, header), length(text)) as bigint) as body_end,
           row_number() over (partition by doc_id order by hit, header) - 1 as seq
-        from (select doc_id, text, header, p - 1 as hit from (
-            select doc_id, text, header, unnest(range(1, length(text) + 1)) as p
-            from headed, (values {_HEADERS}) h(header) where contains(text, header))
-          where substr(text, p, length(header)) = header)""",
+        from (select doc_id, text, header, unnest(list_transform(range(1, len(ps)),
+              lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(header))) as hit
+          from (select doc_id, text, header, string_split(text, header) as ps
+                from headed, (values {_HEADERS}) h(header) where contains(text, header)))""",
     )
 }
 

@@ -359,9 +359,9 @@ def nested(t):
 def save_result(t):
     root = f"{shared_folder(t.spark)}/saved/{uuid4().hex}"
     flat = sinks.flatten_result(nested(t))
-    sinks.save_tables(flat, root)
+    sinks.save_tables(flat, root, buckets=16)
     # Saving the same requests again replaces them.
-    sinks.save_tables({"txn": flat["txn"].where("request_id % 3 = 0")}, root)
+    sinks.save_tables({"txn": flat["txn"].where("request_id % 3 = 0")}, root, buckets=16)
     txn, items = t.spark.read.parquet(f"{root}/txn"), t.spark.read.parquet(f"{root}/txn_item")
     count = lambda df, name, key: df.agg(
         F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("ids")
@@ -661,7 +661,7 @@ def denylist_split(t):
 )
 def denylist_merge(t):
     old = t.read("customer").select(F.col("c_name").alias("value"))
-    new = t.read("benchmark").select(F.trim(F.explode(F.split("text", "\n", -1))).alias("value"))
+    new = t.read("benchmark").select(F.explode(F.split("text", "\n", -1)).alias("value")).select(F.trim("value").alias("value"))
     return gov.denylist_merge(old, new)
 
 

@@ -23,7 +23,8 @@ SHEET_FIELDS = {
     "UPC_ID": "case when n % 4 = 0 then '12' when n % 4 = 1 then '4011' else upc end",
     "UPC_DSC": """case when description_raw = '' then null
         when txn_id % 5 = 0 and n % 2 = 0 then 'GROC DEPT KEY' else description_raw end""",
-    "QTY": "case when n % 6 = 0 then 'two' else concat('', cast(quantity as decimal(18,2))) end",
+    "QTY": """case when n % 6 = 0 then 'two' when quantity is null then null
+        else concat('', cast(quantity as decimal(18,2))) end""",
     "NET": """case when n % 9 = 0 then 'n/a' when loyalty_amt is null then null
         else concat('$', cast(loyalty_amt as decimal(18,2))) end""",
 }
@@ -138,10 +139,30 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """The same cells as the text above in one pass over the sheet rows."""
+
+    def at(i: int, row: str, value: str) -> str:
+        return (
+            f"named_struct('doc_id', txn_id, 'sheet', 'Sheet', 'row_no', {row}, 'col_no',"
+            f" cast(({i} + txn_id) % 7 + 1 as int), 'value', {value})"
+        )
+
+    body = [at(i, "cast(n as int)", SHEET_FIELDS[h]) for i, h in enumerate(HEADER_NAMES)]
+    head = [at(i, "3", f"'{'  ' + h.lower() if i % 2 else h + ' '}'") for i, h in enumerate(HEADER_NAMES)]
+    title = (
+        "named_struct('doc_id', txn_id, 'sheet', 'Sheet', 'row_no', 1, 'col_no', 1, 'value', 'Purchase history')"
+    )
+    opening = f"case when n = 4 then array({title}, {', '.join(head)}) else filter(array({title}), x -> false) end"
+    return rows.selectExpr(f"explode(concat(array({', '.join(body)}), {opening})) as c").select("c.*")
+
+
 def frame(t: Canonical, name: str) -> DataFrame:
     """The input as a DataFrame, canonical tables included."""
     if name not in INPUTS:
         return getattr(t, name)()
+    if name == "cells":
+        return _cells(frame(t, "sheet_row"))
     needs, text = INPUTS[name]
     return t.spark.sql(text, **{n: frame(t, n) for n in needs})
 

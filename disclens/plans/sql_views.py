@@ -78,7 +78,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "purchase": (
         ("txn", "txn_item"),
-        """select i.*, coalesce(nullif(upc, ''), nullif(description_raw, '')) as product_key,
+        """select i.* exclude occurred_at, coalesce(nullif(upc, ''), nullif(description_raw, '')) as product_key,
           t.occurred_at, left(t.occurred_at, 10) as on_date
         from txn_item i join txn t on t.txn_id = i.txn_id
         where coalesce(nullif(upc, ''), nullif(description_raw, '')) is not null

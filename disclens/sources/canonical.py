@@ -18,26 +18,37 @@ from disclens.fixed_values import CATEGORIES
 
 # -- expressions shared with the SQL checks ----------------------------------
 
-_CODE = "cast(l_partkey % 6 as decimal(4,0))"
-_UNIT = f"""cast(case
-    when l_partkey % 6 in (0, 1)
-      then round((2.00 + 0.75 * {_CODE}) * (1.00 + 0.01 * cast(l_suppkey % 5 as decimal(4,0))), 2)
-    when l_partkey % 6 in (2, 3)
-      then round((2.00 + 0.75 * {_CODE})
-                 * cast(case when l_linenumber % 3 = 0 then 2 else 1 end as decimal(4,0)), 2)
-    else round(cast(l_extendedprice as decimal(18,2)) * 0.0001, 2) end as decimal(18,2))"""
-_COUNT = "cast(case when o_custkey % 3 = 1 then 1 + l_linenumber % 2 else 1 end as decimal(4,0))"
-_SIGN = """cast(case when l_linenumber = 6 then 0
-    when l_returnflag = 'R' and l_linenumber = 7 then -1 else 1 end as decimal(4,0))"""
-_AMOUNT = f"cast({_UNIT} * {_COUNT} * {_SIGN} as decimal(18,2))"
+# Amounts are worked out in whole cents, rounding halves away from zero.
+_CENTS = "cast(floor(cast({x} + 50 as double) / 100) as bigint)"
+_STEP = "(200 + 75 * (l_partkey % 6))"
+_UNIT = f"""case
+    when l_partkey % 6 in (0, 1) then {_CENTS.format(x=f"{_STEP} * (100 + l_suppkey % 5)")}
+    when l_partkey % 6 in (2, 3) then {_STEP} * case when l_linenumber % 3 = 0 then 2 else 1 end
+    else {_CENTS.format(x="cast(round(l_extendedprice) as bigint)")} end"""
+_COUNT = "case when o_custkey % 3 = 1 then 1 + l_linenumber % 2 else 1 end"
+_SIGN = """case when l_linenumber = 6 then 0
+    when l_returnflag = 'R' and l_linenumber = 7 then -1 else 1 end"""
+_PAID_SHARE = "(100 - cast(round(l_discount * 100) as bigint))"
+
+
+def _money(cents: str) -> str:
+    return f"cast(cast({cents} as decimal(15,0)) * 0.01 as decimal(18,2))"
+
+
 _UNCODED = "(l_partkey % 97 <= 3 or l_partkey % 5 = 0)"
 
+_OCCURRED_AT = """concat(concat('', cast(o_orderdate as date)), case when o_custkey % 2 = 0 then ''
+    else concat('T', lpad(concat('', o_orderkey % 24), 2, '0'), ':',
+                lpad(concat('', o_orderkey % 60), 2, '0'), ':00') end)"""
+
 ITEM_COLUMNS = {
     "item_id": """concat(lpad(concat('', l_orderkey), 12, '0'), '-', lpad(concat('', l_linenumber), 3, '0'),
         '-', lpad(concat('', l_partkey), 10, '0'), '-', lpad(concat('', l_suppkey), 8, '0'),
         '-', lpad(concat('', cast(l_extendedprice as decimal(18,2))), 14, '0'))""",
     "txn_id": "l_orderkey",
     "request_id": "o_custkey",
+    # A line carries its visit's date from the nested response it was flattened from.
+    "occurred_at": _OCCURRED_AT,
     "description_raw": """case when l_partkey % 97 = 0 then 'CRV DEPOSIT'
         when l_partkey % 97 = 1 then 'CRV SODA 12 PACK R1 TAX FS'
         when l_partkey % 97 = 2 then '***'
@@ -49,10 +60,10 @@ ITEM_COLUMNS = {
     "quantity": """cast(case when o_custkey % 3 = 0 then null
         when o_custkey % 3 = 1 then 1 + l_linenumber % 2
         else cast(l_quantity as decimal(18,4)) * 0.5 end as decimal(18,4))""",
-    "retail_amt": f"""cast(case when o_custkey % 5 = 4 or l_suppkey % 11 = 3 then null
-        else {_AMOUNT} end as decimal(18,2))""",
-    "loyalty_amt": f"""cast(case when l_discount = 0 then null
-        else round({_AMOUNT} * (1.00 - cast(l_discount as decimal(4,2))), 2) end as decimal(18,2))""",
+    "retail_amt": f"""case when o_custkey % 5 = 4 or l_suppkey % 11 = 3 then null
+        else {_money(f"({_UNIT}) * ({_COUNT}) * ({_SIGN})")} end""",
+    "loyalty_amt": f"""case when l_discount = 0 then null
+        else {_money(f"({_SIGN}) * " + _CENTS.format(x=f"({_UNIT}) * ({_COUNT}) * {_PAID_SHARE}"))} end""",
 }
 ITEM_FILTER = "o_custkey % 13 <> 5 and o_orderkey % 17 <> 0"
 
@@ -60,9 +71,7 @@ TXN_COLUMNS = {
     "txn_id": "o_orderkey",
     "request_id": "o_custkey",
     "external_order_id": "concat('ORD-', o_orderkey)",
-    "occurred_at": """concat(concat('', cast(o_orderdate as date)), case when o_custkey % 2 = 0 then ''
-        else concat('T', lpad(concat('', o_orderkey % 24), 2, '0'), ':',
-                    lpad(concat('', o_orderkey % 60), 2, '0'), ':00') end)""",
+    "occurred_at": _OCCURRED_AT,
     "store_code": "case when o_orderkey % 19 = 0 then null else o_orderpriority end",
     "division_code": "o_orderstatus",
     "tender_type": "case when o_orderkey % 4 = 0 then null else concat('T', o_orderkey % 4) end",
@@ -139,6 +148,19 @@ DOCUMENT_COLUMNS = {
 }
 
 
+LARGE = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """The large tables over all cores where they arrive in fewer splits than there are cores.
+
+    A file of one row group is one split however many cores there are. Input of
+    a cluster's size has far more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
+
+
 def _select(columns: dict[str, str]) -> list[str]:
     return [f"{text} as {name}" for name, text in columns.items()]
 
@@ -151,11 +173,11 @@ class Canonical:
         self.sf_dir = sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), name)
 
     def txn_item(self) -> DataFrame:
         lines = self.read("lineitem")
-        orders = self.read("orders").select("o_orderkey", "o_custkey").where(ITEM_FILTER)
+        orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate").where(ITEM_FILTER)
         parts = self.read("part").select("p_partkey", "p_name")
         return (
             lines.join(orders, lines.l_orderkey == orders.o_orderkey)

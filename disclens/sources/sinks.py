@@ -11,8 +11,8 @@ BUCKETS = 256
 CHILDREN = ("source_document", "identity", "txn", "inference", "disclosure", "follow_up", "parse_warning")
 
 
-def bucket_of(request_id: Column) -> Column:
-    return F.pmod(F.xxhash64(request_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(request_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(request_id), F.lit(buckets)).cast("int")
 
 
 def flatten_result(nested: DataFrame) -> dict[str, DataFrame]:
@@ -22,7 +22,7 @@ def flatten_result(nested: DataFrame) -> dict[str, DataFrame]:
     return {"txn": txn, "txn_item": lines.select("request_id", "txn_id", "position", "i.*")}
 
 
-def save_tables(tables: dict[str, DataFrame], root: str) -> None:
+def save_tables(tables: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> None:
     """SNK-01: write requests, replacing any earlier version of the same ones.
 
     Tables are partitioned by a bucket of the request, so their number of
@@ -33,7 +33,7 @@ def save_tables(tables: dict[str, DataFrame], root: str) -> None:
     for name, new in tables.items():
         spark = new.sparkSession
         path = f"{root}/{name}"
-        incoming = new.withColumn("bucket", bucket_of(F.col("request_id")))
+        incoming = new.withColumn("bucket", bucket_of(F.col("request_id"), buckets))
         merged = incoming
         if stored_exists(spark, path):
             touched = incoming.select("bucket").distinct()
@@ -43,7 +43,8 @@ def save_tables(tables: dict[str, DataFrame], root: str) -> None:
                 .join(incoming.select("request_id").distinct(), "request_id", "left_anti")
             )
             merged = incoming.unionByName(others.select(incoming.columns))
-        ready = stage(merged)
+        # Rebalanced, so small buckets share a task and one holding a hot request is split.
+        ready = stage(merged).hint("rebalance", "bucket")
         ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
