@@ -180,7 +180,7 @@ def gauge_position(value: Column, scale: Column) -> Column:
     share = (value - low) / (high - low) * 100
     # Halves go up, as in the interface this reproduces.
     return F.when(
-        high > low, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(share + 0.5))).cast("bigint")
+        value.isNotNull() & (high > low), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(share + 0.5))).cast("bigint")
     )
 
 

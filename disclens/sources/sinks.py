@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from disclens.sources.staging import stage
 
 BUCKETS = 256
+NESTED_LINES = 10_000
 CHILDREN = ("source_document", "identity", "txn", "inference", "disclosure", "follow_up", "parse_warning")
 
 
@@ -17,9 +18,9 @@ def bucket_of(request_id: Column, buckets: int = BUCKETS) -> Column:
 
 def flatten_result(nested: DataFrame) -> dict[str, DataFrame]:
     """SNK-01: baskets with their lines inside as the flat tables."""
-    txn = nested.select(*[c for c in nested.columns if c != "items"])
-    lines = nested.select("request_id", "txn_id", F.posexplode("items").alias("position", "i"))
-    return {"txn": txn, "txn_item": lines.select("request_id", "txn_id", "position", "i.*")}
+    txn = nested.where(F.col("part") == 0).drop("items", "part")
+    lines = nested.select("request_id", "txn_id", "part", F.posexplode("items").alias("position", "i"))
+    return {"txn": txn, "txn_item": lines.select("request_id", "txn_id", "part", "position", "i.*")}
 
 
 def save_tables(tables: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> None:
@@ -72,19 +73,32 @@ def resolve_doc_id(records: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def load_result(txns: DataFrame, items: DataFrame) -> DataFrame:
+def load_result(txns: DataFrame, items: DataFrame, most: int = NESTED_LINES) -> DataFrame:
     """SNK-03: baskets with their lines inside, in stored order.
 
     The nesting is one basket deep. A request is the run of its baskets, never
-    one value, so a very large request stays many rows.
+    one value, so a very large request stays many rows. A basket of more than
+    ``most`` lines comes in several ``part`` rows of about that size.
     """
-    lines = items.groupBy("txn_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("item_id", "description_raw", "upc", "quantity", "retail_amt", "loyalty_amt"))
-        ).alias("items")
+    crowded = (
+        items.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        .select("txn_id", F.ceil(F.col("n") / most).alias("parts"))
     )
-    return txns.join(lines, "txn_id", "left").withColumn(
-        "items", F.coalesce("items", F.array().cast(lines.schema["items"].dataType))
+    part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0)).cast("int")
+    lines = (
+        items.join(crowded, "txn_id", "left")
+        .groupBy("txn_id", part.alias("part"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("item_id", "description_raw", "upc", "quantity", "retail_amt", "loyalty_amt"))
+            ).alias("items")
+        )
+    )
+    return txns.join(lines, "txn_id", "left").withColumns(
+        {
+            "part": F.coalesce("part", F.lit(0)),
+            "items": F.coalesce("items", F.array().cast(lines.schema["items"].dataType)),
+        }
     )
 
 

@@ -18,15 +18,24 @@ def _finish(query) -> None:
         raise query.exception()
 
 
-def stream_dedup(arriving: DataFrame, store: str, watermark: str = "1 day") -> DataFrame:
+def _run(arriving: DataFrame, checkpoint: str | None) -> tuple[str, str]:
+    """The checkpoint folder of a run and the run's name, which a restart of it keeps."""
+    folder = checkpoint or f"{shared_folder(arriving.sparkSession)}/streams/{uuid4().hex}"
+    return folder, folder.rstrip("/").rsplit("/", 1)[-1]
+
+
+def stream_dedup(
+    arriving: DataFrame, store: str, watermark: str = "1 day", checkpoint: str | None = None
+) -> DataFrame:
     """ST-01: each document is stored once, whenever its copies arrive.
 
     Copies close together are dropped by bounded state; copies that come later
     than the watermark are dropped against the stored hashes. The store is
-    appended under the number of its batch, so a batch that is run again after a
-    failure replaces itself. ``arriving`` streams (landed_at, sha256, ...).
+    appended under the names of run and batch, so a batch that is run again after
+    a failure replaces itself. ``arriving`` streams (landed_at, sha256, ...).
     """
     spark = arriving.sparkSession
+    folder, run = _run(arriving, checkpoint)
 
     def append(batch: DataFrame, number: int) -> None:
         # One row per hash even where the watermark let several through together.
@@ -34,16 +43,15 @@ def stream_dedup(arriving: DataFrame, store: str, watermark: str = "1 day") -> D
             *[F.min_by(c, F.struct("landed_at", *[x for x in batch.columns if x != "landed_at"])).alias(c)
               for c in batch.columns if c != "sha256"]
         )
-        path = f"{store}/batch={number}"
         if stored_exists(spark, store):
-            earlier = spark.read.parquet(store).where(F.col("batch") < number).select("sha256")
-            once = once.join(earlier, "sha256", "left_anti")
-        once.write.mode("overwrite").parquet(path)
+            earlier = spark.read.parquet(store).where((F.col("run") != run) | (F.col("batch") < number))
+            once = once.join(earlier.select("sha256"), "sha256", "left_anti")
+        once.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
     deduplicated = arriving.withWatermark("landed_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
     _finish(
         deduplicated.writeStream.foreachBatch(append)
-        .option("checkpointLocation", f"{shared_folder(spark)}/streams/{uuid4().hex}")
+        .option("checkpointLocation", folder)
         .trigger(availableNow=True)
         .start()
     )
@@ -53,14 +61,17 @@ def stream_dedup(arriving: DataFrame, store: str, watermark: str = "1 day") -> D
 MONTH_SUMS = ("visits", "itemised", "unitemised", "summed", "saved", "stated")
 
 
-def stream_months(arriving_txns: DataFrame, items: DataFrame, store: str) -> DataFrame:
+def stream_months(
+    arriving_txns: DataFrame, items: DataFrame, store: str, checkpoint: str | None = None
+) -> DataFrame:
     """ST-02: the month index over baskets as they arrive, late ones included.
 
-    Every batch is reduced to months and stored under its number; the months
-    shown are the sums over all batches, so no order of arrival matters and
-    nothing is ever rewritten.
+    Every batch is reduced to months and stored under its run and number; the
+    months shown are the sums over all batches, so no order of arrival matters
+    and nothing is ever rewritten.
     """
     spark = arriving_txns.sparkSession
+    folder, run = _run(arriving_txns, checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
         lines = F.col("lines_disclosed")
@@ -77,11 +88,11 @@ def stream_months(arriving_txns: DataFrame, items: DataFrame, store: str) -> Dat
                 F.coalesce(F.sum(F.when(~lines, F.col("total_pre_discount"))), zero).alias("stated"),
             )
         )
-        months.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        months.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
     _finish(
         arriving_txns.writeStream.foreachBatch(add)
-        .option("checkpointLocation", f"{shared_folder(spark)}/streams/{uuid4().hex}")
+        .option("checkpointLocation", folder)
         .trigger(availableNow=True)
         .start()
     )
