@@ -136,46 +136,45 @@ def first_blob(blobs: DataFrame, headers: list[str] | None = None, keys: list[st
 # -- VARIANT helpers ----------------------------------------------------------
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-
-
 def _field(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _exploded(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """One row per element of a variant array or entry of a variant object."""
-    each = df.sparkSession.tvf.variant_explode(F.col(column).outer())
-    names = {"pos": f"{alias}_pos", "key": f"{alias}_key", "value": alias}
-    return df.lateralJoin(each.select(*[F.col(k).alias(v) for k, v in names.items()]))
+def _list(v: Column, path: str = "$") -> Column:
+    """The elements of a JSON list, or NULL where there is none."""
+    return _field(v, path, "array<variant>")
+
+
+def _object(v: Column, path: str = "$") -> Column:
+    """The fields of a JSON object, or NULL where there is none."""
+    return _field(v, path, "map<string,variant>")
+
+
+def _named(text: Column) -> Column:
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """EXT-07: baskets, their lines and what could not be read, from one customer object per document."""
     parsed = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    customers = _field(F.col("v"), "$.customer", "variant")
-    customer = F.when(_kind(customers) == "ARRAY", _field(F.col("v"), "$.customer[0]", "variant")).when(
-        _kind(customers) == "OBJECT", customers
-    )
-    owned = parsed.select("doc_id", customer.alias("customer")).withColumn(
-        "basket_list", _field(F.col("customer"), "$.basket", "variant")
-    )
-    each = _exploded(owned.where(_kind(F.col("basket_list")) == "ARRAY"), "basket_list", "basket").where(
-        F.col("basket").isNotNull()
-    )
+    first = _field(F.col("v"), "$.customer[0]", "variant")
+    alone = F.when(_object(F.col("v"), "$.customer").isNotNull(), _field(F.col("v"), "$.customer", "variant"))
+    customer = F.coalesce(alone, F.when(_object(first).isNotNull(), first))
+    owned = parsed.select("doc_id", customer.alias("customer"))
+    each = owned.select("doc_id", F.posexplode(_list(F.col("customer"), "$.basket")).alias("basket_pos", "basket"))
     b = F.col("basket")
-    tenders = F.transform(
-        F.coalesce(_field(b, "$.tenders", "array<variant>"), F.array().cast("array<variant>")),
-        lambda t: F.coalesce(_field(t, "$.tendertype"), F.lit("")),
-    )
+    tenders = F.transform(_list(b, "$.tenders"), lambda t: F.coalesce(_field(t, "$.tendertype"), F.lit("")))
     read = each.select(
-        "doc_id", "basket_pos", "basket",
-        (_kind(b) == "OBJECT").alias("is_object"),
+        "doc_id", "basket_pos",
+        _object(b).isNotNull().alias("is_object"),
         ts_normalise(_field(b, "$.date"), _field(b, "$.time")).alias("occurred_at"),
-        _field(b, "$.items", "variant").alias("item_list"),
-        F.nullif(F.trim(_field(b, "$.orderno")), F.lit("")).alias("external_order_id"),
-        F.nullif(F.trim(_field(b, "$.store")), F.lit("")).alias("store_code"),
+        _list(b, "$.items").alias("listed"),
+        # Something that is neither a list nor nothing stands where the items should.
+        F.coalesce(
+            _list(b, "$.items").isNull() & (_field(b, "$.items") != ""), F.lit(False)
+        ).alias("malformed"),
+        _named(_field(b, "$.orderno")).alias("external_order_id"),
+        _named(_field(b, "$.store")).alias("store_code"),
         tender_join(tenders).alias("tender_type"),
         num_coerce(_field(b, "$.total_amount_prior_to_discounts")).alias("total_pre_discount"),
     )
@@ -183,15 +182,12 @@ def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     txns = kept.select(
         "doc_id", "basket_pos", "occurred_at", "external_order_id", "store_code", "tender_type", "total_pre_discount"
     )
-    listed = _kind(F.col("item_list")) == "ARRAY"
-    elements = _exploded(kept.where(listed).select("doc_id", "basket_pos", "item_list"), "item_list", "item").where(
-        F.col("item").isNotNull()
-    )
+    elements = kept.select("doc_id", "basket_pos", F.posexplode("listed").alias("item_pos", "item"))
     i = F.col("item")
-    items = elements.where(_kind(i) == "OBJECT").select(
+    items = elements.where(_object(i).isNotNull()).select(
         "doc_id", "basket_pos", "item_pos",
         F.coalesce(F.trim(_field(i, "$.purchasedescription")), F.lit("")).alias("description_raw"),
-        F.nullif(F.trim(_field(i, "$.productupc")), F.lit("")).alias("upc"),
+        _named(_field(i, "$.productupc")).alias("upc"),
         num_coerce(_field(i, "$.quantity")).alias("quantity"),
         num_coerce(_field(i, "$.retailamt")).alias("retail_amt"),
         num_coerce(_field(i, "$.customerloyamt")).alias("loyalty_amt"),
@@ -202,7 +198,6 @@ def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return df.select("doc_id", text.alias("message"))
 
     pos = F.col("basket_pos")
-    no_list = ~F.coalesce(listed, F.lit(True)) & (_kind(F.col("item_list")) != "VOID")
     warnings = (
         warn(owned.where(F.col("customer").isNull()), "The purchases section had no customer object.")
         .unionByName(warn(read.where(~F.col("is_object")), "Basket ", pos, " was not an object and was skipped."))
@@ -212,10 +207,10 @@ def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 "Basket ", pos, " had no usable date and was skipped.",
             )
         )
-        .unionByName(warn(kept.where(no_list), "Basket ", pos, " had a malformed item list."))
+        .unionByName(warn(kept.where("malformed"), "Basket ", pos, " had a malformed item list."))
         .unionByName(
             warn(
-                elements.where(_kind(i) != "OBJECT"),
+                elements.where(_object(i).isNull()),
                 "Item ", F.col("item_pos"), " of basket ", pos, " was not an object.",
             )
         )
@@ -227,40 +222,39 @@ def identity_nested(docs: DataFrame) -> DataFrame:
     """EXT-20: identifiers of nested accounts, whose card numbers are map keys, and of typed groups."""
     parsed = docs.select("doc_id", F.try_parse_json("json").alias("v"))
 
-    def under(df: DataFrame, column: str, path: str, alias: str) -> DataFrame:
-        inner = df.withColumn("_in", _field(F.col(column), path, "variant")).where(
-            _kind(F.col("_in")).isin("ARRAY", "OBJECT")
-        )
-        return _exploded(inner, "_in", alias).drop("_in").where(F.col(alias).isNotNull())
+    def each(df: DataFrame, column: str, path: str, alias: str) -> DataFrame:
+        return df.withColumn(alias, F.explode(_list(F.col(column), path)))
+
+    def fields(df: DataFrame, column: str, path: str, alias: str) -> DataFrame:
+        return df.select("*", F.explode(_object(F.col(column), path)).alias(f"{alias}_key", alias))
 
-    def row(df: DataFrame, id_type: Column | str, value: Column, scope: Column | str) -> DataFrame:
+    def row(df: DataFrame, id_type: Column | str, value: Column, scope: Column | str, place: int = 0) -> DataFrame:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        group = F.col("grp_pos") if "grp_pos" in df.columns else F.lit(-1)
         return df.select(
-            "doc_id", as_column(id_type).alias("id_type"), F.trim(value).alias("value"), as_column(scope).alias("scope")
+            "doc_id", as_column(id_type).alias("id_type"), F.trim(value).alias("value"), as_column(scope).alias("scope"),
+            (group * 2 + place).alias("place"),
         )
 
-    accounts = under(under(parsed, "v", "$.accounts", "outer"), "outer", "$.accounts", "account")
-    cards = under(accounts, "account", "$.loyaltyCards", "card")
-    alternates = under(cards, "card", "$.altIds", "alt")
+    accounts = each(each(parsed, "v", "$.accounts", "outer"), "outer", "$.accounts", "account")
+    cards = fields(accounts, "account", "$.loyaltyCards", "card")
+    alternates = each(cards, "card", "$.altIds", "alt")
     first = _field(F.col("account"), "$.personalInfo.name.firstName")
     last = _field(F.col("account"), "$.personalInfo.name.lastName")
-    names = row(
-        accounts, "name",
-        F.concat_ws(" ", F.nullif(F.trim(first), F.lit("")), F.nullif(F.trim(last), F.lit(""))), "individual",
-    )
-    groups = under(parsed, "v", "$.groups", "grp")
+    names = row(accounts, "name", F.concat_ws(" ", _named(first), _named(last)), "individual")
+    groups = parsed.select("*", F.posexplode(_list(F.col("v"), "$.groups")).alias("grp_pos", "grp"))
     scope = F.coalesce(
         F.try_element_at(literal_map(GROUP_SCOPES), _field(F.col("grp"), "$.type")), F.lit("individual")
     )
-    aliases = under(groups, "grp", "$.aliasIds", "alias")
+    aliases = fields(groups, "grp", "$.aliasIds", "alias")
     alias_type = F.try_element_at(literal_map(ALIAS_TYPES), F.col("alias_key"))
-    metadata = under(groups, "grp", "$.metadata", "meta")
+    metadata = fields(groups, "grp", "$.metadata", "meta")
     meta_type = F.try_element_at(literal_map(ALIAS_TYPES), F.col("meta_key"))
-    meta_value = F.when(_kind(F.col("meta")) == "OBJECT", _field(F.col("meta"), "$.value", "variant")).otherwise(
+    meta_value = F.when(_object(F.col("meta")).isNotNull(), _field(F.col("meta"), "$.value", "variant")).otherwise(
         F.col("meta")
     )
     address = F.when(
-        _kind(meta_value) == "OBJECT",
+        _object(meta_value).isNotNull(),
         F.concat_ws(", ", *[F.nullif(_field(meta_value, f"$.{f}"), F.lit("")) for f in ADDRESS_FIELDS]),
     ).otherwise(_field(meta_value, "$"))
     found = (
@@ -271,11 +265,12 @@ def identity_nested(docs: DataFrame) -> DataFrame:
         .unionByName(
             row(aliases, F.coalesce(alias_type, F.lit("internal_person")), _field(F.col("alias"), "$"), scope)
         )
-        .unionByName(row(metadata.where(meta_type.isNotNull()), meta_type, _field(meta_value, "$"), scope))
-        .unionByName(row(metadata.where(F.lower("meta_key") == "address"), "address", address, "household"))
+        .unionByName(row(metadata.where(meta_type.isNotNull()), meta_type, _field(meta_value, "$"), scope, 1))
+        .unionByName(row(metadata.where(F.lower("meta_key") == "address"), "address", address, "household", 1))
     )
+    # Of one identifier stated twice, the first statement says whom it describes.
     return found.where(F.coalesce("value", F.lit("")) != "").groupBy("doc_id", "id_type", "value").agg(
-        F.max("scope").alias("scope")
+        F.min_by("scope", "place").alias("scope")
     )
 
 

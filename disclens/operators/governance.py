@@ -29,14 +29,14 @@ SUPPRESSION = r"pii-scan:\s*allow\b(.*)"
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from one, line, line above)."""
+    cut = docs.select("doc_id", F.split("text", "\n", -1).alias("_lines"))
     lines = F.transform(
-        F.split("text", "\n", -1),
+        "_lines",
         lambda line, i: F.struct(
-            (i + 1).alias("line_no"), line.alias("line"),
-            F.coalesce(F.get(F.split("text", "\n", -1), i - 1), F.lit("")).alias("above"),
+            (i + 1).alias("line_no"), line.alias("line"), F.coalesce(F.get("_lines", i - 1), F.lit("")).alias("above")
         ),
     )
-    return docs.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.line_no", "l.line", "l.above")
+    return cut.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.line_no", "l.line", "l.above")
 
 
 # -- accept tests -------------------------------------------------------------

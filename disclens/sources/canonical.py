@@ -148,7 +148,14 @@ DOCUMENT_COLUMNS = {
 }
 
 
-LARGE = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+# What spreads the rows of each large table evenly, whichever single key is hot.
+SPREAD_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+    "documents": ("doc_id",),
+    "pages": ("page_id",),
+}
 
 
 def spread(df: DataFrame, name: str) -> DataFrame:
@@ -158,7 +165,8 @@ def spread(df: DataFrame, name: str) -> DataFrame:
     a cluster's size has far more splits than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
+    keys = SPREAD_KEYS.get(name)
+    return df.repartition(cores, *keys) if keys and df.rdd.getNumPartitions() < cores else df
 
 
 def _select(columns: dict[str, str]) -> list[str]:
