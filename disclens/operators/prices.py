@@ -212,6 +212,11 @@ def _divides(amount: Column, base: Column) -> Column:
     return (amount < base) & near_multiple(base.cast("double") / amount.cast("double")).isNotNull()
 
 
+def _to_the_cent(amount: Column) -> Column:
+    """An amount of four places at two, rounded as the binary number it is: 0.145 lies below the half."""
+    return (F.floor(amount.cast("double") * 100 + 0.5) / 100).cast("decimal(18,4)")
+
+
 def _above_drift(amount: Column, base: Column) -> Column:
     return amount.cast("double") > base.cast("double") * F.lit(1 + DRIFT_MARGIN)
 
@@ -250,7 +255,7 @@ def _gathered(histogram: DataFrame) -> DataFrame:
         F.filter("prices", lambda p: _divides(p["amount"], F.col("common"))), F.lit(1)
     )["amount"]
     settled = base.withColumn(
-        "base", F.coalesce(F.round(unit, 2).cast("decimal(18,4)"), F.col("common"))
+        "base", F.coalesce(_to_the_cent(unit), F.col("common"))
     ).withColumn(
         "gap",
         F.try_element_at(F.filter("prices", lambda p: _above_drift(p["amount"], F.col("base"))), F.lit(1))["amount"],
@@ -287,7 +292,7 @@ def _rowwise(wide: DataFrame) -> DataFrame:
         .agg(F.min("unit_amount").alias("unit"))
     )
     based = base.join(unit, SERIES, "left").withColumn(
-        "base", F.coalesce(F.round("unit", 2).cast("decimal(18,4)"), F.col("common"))
+        "base", F.coalesce(_to_the_cent(F.col("unit")), F.col("common"))
     )
     gap = (
         wide.join(based.select(*SERIES, "base"), SERIES)
