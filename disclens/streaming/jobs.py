@@ -24,33 +24,29 @@ def _run(arriving: DataFrame, checkpoint: str | None) -> tuple[str, str]:
     return folder, folder.rstrip("/").rsplit("/", 1)[-1]
 
 
-def stream_dedup(
-    arriving: DataFrame, store: str, watermark: str = "1 day", checkpoint: str | None = None
-) -> DataFrame:
+def stream_dedup(arriving: DataFrame, store: str, checkpoint: str | None = None) -> DataFrame:
     """ST-01: each document is stored once, whenever its copies arrive.
 
-    Copies close together are dropped by bounded state; copies that come later
-    than the watermark are dropped against the stored hashes. The store is
-    appended under the names of run and batch, so a batch that is run again after
-    a failure replaces itself. ``arriving`` streams (landed_at, sha256, ...).
+    Copies within a batch are folded into their first; copies of anything stored
+    earlier are left out by its hash. The store alone decides: a watermark would
+    lose a document that comes later than it. The store is appended under the
+    names of run and batch, so a batch that is run again after a failure
+    replaces itself. ``arriving`` streams (landed_at, sha256, ...).
     """
     spark = arriving.sparkSession
     folder, run = _run(arriving, checkpoint)
 
     def append(batch: DataFrame, number: int) -> None:
-        # One row per hash even where the watermark let several through together.
-        once = batch.groupBy("sha256").agg(
-            *[F.min_by(c, F.struct("landed_at", *[x for x in batch.columns if x != "landed_at"])).alias(c)
-              for c in batch.columns if c != "sha256"]
-        )
+        others = [c for c in batch.columns if c != "sha256"]
+        first = F.min(F.struct("landed_at", *[c for c in others if c != "landed_at"]))
+        once = batch.groupBy("sha256").agg(first.alias("first")).select("sha256", "first.*")
         if stored_exists(spark, store):
             earlier = spark.read.parquet(store).where((F.col("run") != run) | (F.col("batch") < number))
             once = once.join(earlier.select("sha256"), "sha256", "left_anti")
         once.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
-    deduplicated = arriving.withWatermark("landed_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
     _finish(
-        deduplicated.writeStream.foreachBatch(append)
+        arriving.writeStream.foreachBatch(append)
         .option("checkpointLocation", folder)
         .trigger(availableNow=True)
         .start()
