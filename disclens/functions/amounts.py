@@ -15,9 +15,7 @@ MONEY = "decimal(18,4)"
 
 def num_coerce(text: Column) -> Column:
     """A printed amount as a decimal; blank, junk and non-finite text give NULL."""
-    return F.expr("try_cast(null as decimal(18,4))") if text is None else F.regexp_replace(
-        F.trim(text), "[$,]", ""
-    ).try_cast(MONEY)
+    return F.regexp_replace(F.trim(text), "[$,]", "").try_cast(MONEY)
 
 
 def product_key(upc: Column = None, description: Column = None) -> Column:
