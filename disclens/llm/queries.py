@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disclens.llm import sharding, simhash_trie
+from disclens.llm import fertility, licences, sharding, simhash_trie, toxicity
 from disclens.llm.shared import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +38,49 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents."""
+    return licences.licence_notices(_documents(spark, sf_dir)).select(
+        F.col(ID).alias("doc_id"),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"),
+        "score",
+        F.size("detections").cast("long").alias("n_detections"),
+    )
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures of all documents under two public vocabularies, in the bands of their languages."""
+    return fertility.quality_figures(
+        _documents(spark, sf_dir),
+        piece_path=public_tokenizers.path("piece_bpe_32k.model"),
+        rank_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        language="lang",
+    ).withColumnRenamed(ID, "doc_id")
+
+
 @_query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in at most two bits."""
     return simhash_trie.near_copies(_documents(spark, sf_dir)).select(
         F.col(ID).alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+HELD_OUT = f"crc32(cast({ID} as string)) % 3 = 1"
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the marks outside the held-out third."""
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", ID)
+    return toxicity.toxicity(_documents(spark, sf_dir), marks, learn=f"not ({HELD_OUT})").select(
+        F.col(ID).alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "score", "predicted"
+    )

@@ -37,9 +37,9 @@ def ring(nodes: DataFrame, ring_bits: int) -> DataFrame:
     homes = nodes.groupBy(F.col("node").alias("cell")).agg(F.min("shard").alias("shard"))
     first = homes.orderBy("cell").limit(1).select((F.col("cell") + cells).alias("cell"), "shard")
     every = nodes.sparkSession.range(cells).select(F.col("id").alias("cell")).join(homes, "cell", "left")
-    clockwise = Window.orderBy("cell").rowsBetween(0, Window.unboundedFollowing)
+    clockwise = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("shard").isNotNull(), F.struct(F.col("cell").alias("at"), "shard"))
-    named = every.unionByName(first).select("cell", F.first(at, ignorenulls=True).over(clockwise).alias("next"))
+    named = every.unionByName(first).select("cell", F.last(at, ignorenulls=True).over(clockwise).alias("next"))
     return named.where(F.col("cell") < cells).select(
         "cell", (F.col("next.at") % cells).alias("node"), F.col("next.shard").alias("shard")
     )

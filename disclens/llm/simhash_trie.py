@@ -53,7 +53,7 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _prefix(code: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(code, 64 - depth) if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned(code, 64 - depth) if depth else F.shiftrightunsigned(F.shiftrightunsigned(code, 63), 1)
 
 
 def trie_cells(codes: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
