@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disclens.llm import fertility, licences, sharding, simhash_trie, toxicity
+from disclens.llm import chained_passages, fertility, leaks, licences, sharding, simhash_trie, suffix_levels, toxicity
 from disclens.llm.shared import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,34 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), marks, learn=f"not ({HELD_OUT})").select(
         F.col(ID).alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "score", "predicted"
     )
+
+
+@_query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents, up to one word in five changed."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leaks.passages_in(_documents(spark, sf_dir), benchmark).select(
+        F.col(ID).alias("doc_id"),
+        (F.col("n_items") > 0).alias("contaminated"),
+        "n_items",
+        F.transform("items", lambda i: i["item_id"]).alias("item_ids"),
+        "least_distance",
+    )
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share, as each document's group, links and stretches."""
+    return chained_passages.passage_groups(_documents(spark, sf_dir)).withColumnRenamed(ID, "doc_id")
+
+
+@_query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeated 200-byte strings cover."""
+    return suffix_levels.remove_repeats(_documents(spark, sf_dir)).select(
+        F.col(ID).alias("doc_id"),
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["n_bytes"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
