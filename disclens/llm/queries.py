@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disclens.llm import chained_passages, fertility, leaks, licences, sharding, simhash_trie, suffix_levels, toxicity
+from disclens.llm import chained_passages, fertility, fuzzy_lines, leaks, licences, sharding, simhash_trie, suffix_levels, toxicity
 from disclens.llm.shared import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with one occurrence of each group of fuzzy lines."""
+    kept = fuzzy_lines.without_repeated_lines(_documents(spark, sf_dir), removed="removed")
+    return kept.select(F.col(ID).alias("doc_id"), F.size("removed").cast("long").alias("n_removed"), "text")
+
+
 @_query
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of all documents."""
