@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disclens.llm.shared import ID, source_text
+from disclens.llm.shared import ID, TEXT, source_text
 from disclens.sources.staging import stage
 
 ERROR_SHARE = 0.2
@@ -170,51 +171,50 @@ def passages_in(
     without an item id are left out; documents that repeat are searched one by
     one; an empty table of either gives no matches.
     """
-    rows = source_text(documents)
-    wanted = passages.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    n_blocks = max(1, -(-wanted.count() // items_at_once))
-    kinds = [rows.schema[ID].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()]
-    entry = f"array<struct<item_id:{kinds[1]},distance:int,last_word:int>>"
-    if n_blocks == 1:
-        return _with_figures(_searched(rows, wanted, error_share, kinds[0], entry))
-    keyed = rows.withColumn("row_key", F.xxhash64(ID, "text"))
-    parts = []
-    for n in range(n_blocks):
-        some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == n)
-        hits = _searched(keyed, some, error_share, kinds[0], entry, key=True)
-        parts.append(stage(hits.where(F.size("items") > 0).distinct()))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.union(part)
-    hits = hits.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = keyed.select(ID, "row_key").join(hits, "row_key", "left")
-    return _with_figures(joined.select(ID, F.coalesce("items", F.array().cast(entry)).alias("items")))
-
-
-def _searched(rows: DataFrame, some: DataFrame, error_share: float, id_kind: str, entry: str, key: bool = False) -> DataFrame:
-    block = rows.sparkSession.sparkContext.broadcast(block_of(sorted((r[0], r[1]) for r in some.collect()), error_share))
-    name, kind = ("row_key", "long") if key else (ID, id_kind)
-    item_kind = entry.split("item_id:")[1].split(",distance")[0]
-    typed = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    listed = pa.list_(pa.struct([("item_id", typed), ("distance", pa.int32()), ("last_word", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                best: dict[object, tuple[int, int]] = {}
-                for item, distance, last in found_in(text, block.value):
-                    best[item] = min(best.get(item, (distance, last)), (distance, last))
-                found.append([{"item_id": i, "distance": d, "last_word": w} for i, (d, w) in sorted(best.items())])
-            yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(found, listed)], [name, "items"])
-
-    return rows.mapInArrow(run, f"{name} {kind}, items {entry}")
-
-
-def _with_figures(found: DataFrame) -> DataFrame:
+    found = None
+    for search in searches(passages, error_share, items_at_once):
+        rows = source_text(documents).select(ID, F.xxhash64(TEXT).alias("text_key"), search(F.col(TEXT)).alias("items"))
+        if found is None:
+            found = rows
+            continue
+        found = stage(found)
+        more = rows.where(F.size("items") > 0).distinct().select(F.col(ID).alias("other_id"), F.col("text_key").alias("other_key"), F.col("items").alias("more"))
+        same = F.col(ID).eqNullSafe(F.col("other_id")) & (F.col("text_key") == F.col("other_key"))
+        both = F.array_sort(F.concat("items", F.coalesce("more", F.array().cast(found.schema["items"].dataType))))
+        found = found.join(more, same, "left").select(ID, "text_key", both.alias("items"))
     return found.select(
         ID,
         "items",
         F.size("items").cast("long").alias("n_items"),
         F.array_min(F.transform("items", lambda i: i["distance"])).alias("least_distance"),
     )
+
+
+def searches(
+    passages: DataFrame, error_share: float = ERROR_SHARE, items_at_once: int = ITEMS_AT_ONCE
+) -> Iterator[Callable[[Column], Column]]:
+    """For each block of passages, the passages found in a column of texts as an array, smallest id first."""
+    wanted = passages.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    n_blocks = max(1, -(-wanted.count() // items_at_once))
+    kind = wanted.schema["item_id"].dataType.simpleString()
+    for n in range(n_blocks):
+        some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == n).collect()
+        block = block_of(sorted((r[0], r[1]) for r in some), error_share)
+        yield _search_of(wanted.sparkSession.sparkContext.broadcast(block), kind)
+
+
+def _search_of(block: Broadcast, kind: str) -> Callable[[Column], Column]:
+    typed = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    listed = pa.list_(pa.struct([("item_id", typed), ("distance", pa.int32()), ("last_word", pa.int32())]))
+
+    @F.arrow_udf(f"array<struct<item_id:{kind},distance:int,last_word:int>>")
+    def search(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts.to_pylist():
+            best: dict[object, tuple[int, int]] = {}
+            for item, distance, last in found_in(text or "", block.value):
+                best[item] = min(best.get(item, (distance, last)), (distance, last))
+            found.append([{"item_id": i, "distance": d, "last_word": w} for i, (d, w) in sorted(best.items())])
+        return pa.array(found, listed)
+
+    return search

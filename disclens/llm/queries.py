@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disclens.llm import chained_passages, fertility, fuzzy_lines, leaks, licences, sharding, simhash_trie, suffix_levels, toxicity
+from disclens.llm import byte_bpe, chained_passages, fertility, fuzzy_lines, leaks, licences, sharding, simhash_trie, suffix_levels, toxicity
 from disclens.llm.shared import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,21 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@_query
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the bytes they decode to, as digests."""
+    return token_digests(_documents(spark, sf_dir)).withColumnRenamed(ID, "doc_id")
+
+
+def token_digests(documents: DataFrame) -> DataFrame:
+    encoded = byte_bpe.encode_and_decode(
+        documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return encoded.select(
+        ID, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy passages that documents share, as each document's group, links and stretches."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disclens.llm.licences import SPACED
@@ -143,30 +143,30 @@ def _train(x: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> tupl
     return theta[:-1], float(theta[-1])
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``(source_document_id, score)`` of every document, its whole text read in one pass without a shuffle."""
+def score_of(model: Model) -> Callable[[Column], Column]:
+    """The score of a column of texts, each read whole; a missing text is empty."""
     weight = dict(zip(model.features.tolist(), model.weights.tolist()))
-    bias, rows = model.bias, source_text(documents)
+    bias = model.bias
+    known: dict[bytes, tuple[int, ...]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, ...]] = {}
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                hits: set[int] = set()
-                for word in set(text.encode().translate(SPACED).lower().split()):
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) >= WORDS_KEPT:
-                            known.clear()
-                        own = known[word] = tuple(f for f in features_of(word) if f in weight)
-                    if own:
-                        hits.update(own)
-                found.append(bias + sum(weight[f] for f in sorted(hits)))
-            made = 1 / (1 + np.exp(-np.clip(np.array(found, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], [ID, "score"])
-
-    return rows.mapInArrow(run, f"{ID} {rows.schema[ID].dataType.simpleString()}, score double")
+    def logit(text: str) -> float:
+        hits: set[int] = set()
+        for word in set(text.encode().translate(SPACED).lower().split()):
+            own = known.get(word)
+            if own is None:
+                if len(known) >= WORDS_KEPT:
+                    known.clear()
+                own = known[word] = tuple(f for f in features_of(word) if f in weight)
+            if own:
+                hits.update(own)
+        return bias + sum(weight[f] for f in sorted(hits))
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        logits = np.array([logit(t or "") for t in texts.to_pylist()], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+
+    return score
 
 
 def toxicity(
@@ -182,5 +182,7 @@ def toxicity(
     the prior; marks of unknown documents count for nothing; rows that repeat
     are scored one by one; an empty table gives no rows.
     """
-    model = fit(documents, marks, learn, prior)
-    return score(documents, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = score_of(fit(documents, marks, learn, prior))
+    return documents.select(ID, score(F.col(TEXT)).alias("score")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int")
+    )
