@@ -68,7 +68,7 @@ def placement(cells: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
         "shard", "load", (F.floor(total / shards) + F.when(fullest <= total % shards, 1).otherwise(0)).alias("room")
     )
     in_shard = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("node", "cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(in_shard), F.lit(0))
     held = F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.col("before")))
     counted = (

@@ -20,6 +20,7 @@ MOST_UNLABELLED = 16_000
 MOST_FEATURES = 512
 LEAST_SEEN = 4
 LEAST_SHARE = 0.01
+LEAST_DEVIATIONS = 3
 STEMS = (4, 5, 6)
 DEFAULT_PRIOR = 0.05
 WORDS_KEPT = 200_000
@@ -73,7 +74,8 @@ def fit(
     toxic)``; ``learn`` is a condition on ``source_document_id`` that both the
     examples and the unlabelled texts must meet. Documents marked 1 are the
     confirmed examples, at most ``MOST_CONFIRMED``; any documents are the
-    unlabelled text, at most ``MOST_UNLABELLED``, marks unseen. ``prior`` is
+    unlabelled text, at most ``MOST_UNLABELLED``, marks unseen. Features are
+    words and stems that the examples hold clearly more often. ``prior`` is
     the share of toxic text, by default the share among the marked rows.
     """
     known = marks.where(F.expr(learn) if learn else F.lit(True)).where("toxic is not null")
@@ -90,6 +92,8 @@ def fit(
         .groupBy("feature")
         .agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
         .where(F.col("p") >= max(LEAST_SEEN, LEAST_SHARE * n_pos))
+        .withColumn("due", F.col("u") * n_pos / n_unl)
+        .where(F.col("p") > F.col("due") + LEAST_DEVIATIONS * F.sqrt(F.col("due") + 1))
     )
     lift = F.log(((F.col("p") + 0.5) / n_pos) / ((F.col("u") + 0.5) / n_unl))
     chosen = seen.orderBy(F.desc(F.col("p") * lift), "feature").limit(MOST_FEATURES).select("feature").collect()
