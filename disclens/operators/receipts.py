@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from disclens.fixed_values import MAX_JOINS
-
 RECEIPT = ["visit_key", "receipt_no"]
 
 
@@ -25,9 +21,58 @@ def receipt_runs(fragments: DataFrame) -> DataFrame:
 
 
 def set_aside_clipped(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """EXT-42: clipped captures leave before any arithmetic, which they would satisfy by chance."""
-    clipped = F.coalesce("clipped", F.lit(False))
-    return fragments.where(~clipped), fragments.where(clipped)
+    """EXT-42: a receipt of which any capture is clipped leaves whole, before any arithmetic, which it would satisfy by chance.
+
+    Both sides come numbered by receipt, with the numbers all captures together give.
+    """
+    runs = receipt_runs(fragments)
+    cut = runs.groupBy(*RECEIPT).agg(F.max(F.coalesce("clipped", F.lit(False))).alias("_cut"))
+    judged = runs.join(cut, RECEIPT)
+    return judged.where(~F.col("_cut")).drop("_cut"), judged.where("_cut").drop("_cut")
+
+
+def _overlap(before: list, after: list) -> int:
+    """The longest beginning of ``after`` that ``before`` ends with, in one walk over the borders of ``after``."""
+    border, k = [0] * len(after), 0
+    for i in range(1, len(after)):
+        while k and after[i] != after[k]:
+            k = border[k - 1]
+        k += after[i] == after[k]
+        border[i] = k
+    k = 0
+    for line in before if after else []:
+        while k and (k == len(after) or after[k] != line):
+            k = border[k - 1]
+        k += after[k] == line
+    return k
+
+
+def _seams_that_spend(openings: list[list], surplus) -> list[int] | None:
+    """Trims, one for each seam, whose amounts come to ``surplus``: as many lines as can be, then the fewest at the first seam.
+
+    From the last seam back, every sum that trims can reach is kept with the
+    most lines that reach it, so no choice of trims is listed.
+    """
+    reach = [{0: 0}]
+    for amounts in reversed(openings):
+        spent, onward = 0, {}
+        for n in range(len(amounts) + 1):
+            spent += amounts[n - 1] if n else 0
+            for rest, lines in reach[-1].items():
+                onward[rest + spent] = max(onward.get(rest + spent, 0), lines + n)
+        reach.append(onward)
+    if surplus not in reach[-1]:
+        return None
+    trims = []
+    for amounts, here, later in zip(openings, reach[:0:-1], reach[-2::-1], strict=True):
+        spent, most = 0, here[surplus]
+        for n in range(len(amounts) + 1):
+            spent += amounts[n - 1] if n else 0
+            if later.get(surplus - spent, -len(amounts) - most - 1) + n == most:
+                break
+        trims.append(n)
+        surplus -= spent
+    return trims
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -35,52 +80,33 @@ def seam_trims(parts: pd.Series, owed: pd.Series) -> pd.Series:
     """How many opening lines each later fragment repeats.
 
     ``parts`` holds each fragment's lines as (description, amount) in order and
-    ``owed`` what the joined lines should come to, or NULL. Every overlap up to
-    the longest exact run at each seam is tried, most first, until the sum is
-    right; past the bound only the whole overlap and none are tried. Where
-    nothing adds up the longest runs stand.
+    ``owed`` what the joined lines should come to, or NULL. The longest
+    overlaps with what is already joined stand if they add up, or if nothing
+    does; else those overlaps of neighbours that add up and leave out the most.
     """
 
-    def run(before: list, after: list) -> int:
-        sizes = range(min(len(before), len(after)), 0, -1)
-        return next((n for n in sizes if before[-n:] == after[:n]), 0)
-
-    def choose(fragments, total) -> list[int]:
+    def trims(fragments, total) -> list[int]:
         lines = [[(x["description"], x["amount"]) for x in f["lines"]] for f in fragments]
         joined, longest = list(lines[0]), []
         for after in lines[1:]:
-            longest.append(run(joined, after))
+            longest.append(_overlap(joined, after))
             joined += after[longest[-1] :]
-        if total is None:
+        if total is None or sum(amount for _, amount in joined) == total:
             return longest
-        amounts = [[amount for _, amount in f] for f in lines]
-        whole = sum(map(sum, amounts))
+        openings = [[amount for _, amount in b[: _overlap(a, b)]] for a, b in zip(lines, lines[1:], strict=False)]
+        surplus = sum(amount for f in lines for _, amount in f) - total
+        return _seams_that_spend(openings, surplus) or longest
 
-        def foots(trims) -> bool:
-            return whole - sum(sum(a[:n]) for a, n in zip(amounts[1:], trims, strict=True)) == total
-
-        if foots(longest):
-            return longest
-        seams = [run(a, b) for a, b in zip(lines, lines[1:], strict=False)]
-        space = 1
-        for seam in seams:
-            space *= seam + 1
-        if space > MAX_JOINS:
-            tries = [tuple(seams), (0,) * len(seams)]
-        else:
-            tries = sorted(product(*(range(s + 1) for s in seams)), key=sum, reverse=True)
-        return list(next((t for t in tries if foots(t)), longest))
-
-    return pd.Series([choose(f, t) for f, t in zip(parts, owed, strict=True)])
+    return pd.Series([trims(f, t) for f, t in zip(parts, owed, strict=True)])
 
 
 def stitch(fragments: DataFrame, lines: DataFrame) -> DataFrame:
     """EXT-36: the lines of each receipt with the repeats at its seams left out.
 
-    Only receipts of several fragments are gathered, one receipt's lines at a
-    time; the rest pass through untouched.
+    Receipts with a clipped capture are set aside first. Only receipts of several
+    fragments are gathered, one receipt's lines at a time; the rest pass through untouched.
     """
-    runs = receipt_runs(fragments)
+    runs, _ = set_aside_clipped(fragments)
     held = lines.join(runs.select("visit_key", "part", "receipt_no"), ["visit_key", "part"])
     totals = runs.groupBy(*RECEIPT).agg(
         F.count(F.lit(1)).alias("fragments"),
@@ -155,21 +181,35 @@ def receipt_foots(receipts: DataFrame) -> DataFrame:
     )
 
 
+# The slips of one printed second with its visits, in order: each slip meets the first visit that is still free, and takes
+# it if they agree on the sum, tax read as the last thing bought where that alone makes them agree.
+_OFFERS = """aggregate(_slips,
+    struct(0 as taken, cast(array() as array<struct<receipt_id:bigint,txn_id:bigint,agrees:boolean>>) as pairs),
+    (s, slip) -> if(s.taken >= size(_visits), s, transform(array(_visits[s.taken]), v -> transform(
+        array(coalesce(v.total_pre_discount = slip.subtotal
+            or (slip.tax_inferred and v.total_pre_discount = slip.subtotal + slip.tax), false)),
+        agrees -> struct(s.taken + if(agrees, 1, 0) as taken, concat(s.pairs, array(struct(
+            slip.receipt_id as receipt_id, v.txn_id as txn_id, agrees as agrees))) as pairs))[0])[0]),
+    s -> s.pairs)"""
+
+
 def receipt_match(receipts: DataFrame, visits: DataFrame) -> DataFrame:
     """EXT-38: each receipt's visit, by its printed time, else by date and amount where only one fits.
 
-    Receipts and visits sharing one printed time are paired in order.
+    Receipts that share one printed time are offered that time's visits in
+    order; a visit whose total a receipt contradicts stays free for the next.
     """
-    place = lambda order: Window.partitionBy("request_id", "occurred_at").orderBy(order)
-    stamped = receipts.where(F.col("stamp").isNotNull()).withColumn("occurred_at", F.col("stamp")).withColumn(
-        "_nth", F.row_number().over(place("receipt_id"))
-    )
-    dated = visits.withColumn("_nth", F.row_number().over(place("txn_id")))
-    exact = stamped.join(dated, ["request_id", "occurred_at", "_nth"]).select(
-        "receipt_id", "txn_id", F.lit(False).alias("by_filename")
+    key = ["request_id", "occurred_at"]
+    stamped = (
+        receipts.where(F.col("stamp").isNotNull())
+        .groupBy("request_id", F.col("stamp").alias("occurred_at"))
+        .agg(F.array_sort(F.collect_list(F.struct("receipt_id", "subtotal", "tax", "tax_inferred"))).alias("_slips"))
     )
+    dated = visits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("txn_id", "total_pre_discount"))).alias("_visits"))
+    offered = stamped.join(dated, key).select(F.explode(F.expr(_OFFERS)).alias("o"))
+    exact = offered.select("o.receipt_id", "o.txn_id", F.lit(False).alias("by_filename"), "o.agrees")
     free_receipts = receipts.join(exact.select("receipt_id"), "receipt_id", "left_anti")
-    free_visits = visits.join(exact.select("txn_id"), "txn_id", "left_anti")
+    free_visits = visits.join(exact.where("agrees").select("txn_id"), "txn_id", "left_anti")
     fits = (
         free_visits.where(F.col("total_pre_discount").isNotNull())
         .groupBy("request_id", F.left("occurred_at", F.lit(10)).alias("named_date"), F.col("total_pre_discount").alias("subtotal"))
@@ -182,7 +222,7 @@ def receipt_match(receipts: DataFrame, visits: DataFrame) -> DataFrame:
         .agg(F.min("receipt_id").alias("receipt_id"))
         .select("receipt_id", "txn_id", F.lit(True).alias("by_filename"))
     )
-    return exact.unionByName(fallback)
+    return exact.drop("agrees").unionByName(fallback)
 
 
 def tax_settlement(stated: Column, subtotal: Column, tax: Column, inferred: Column) -> Column:

@@ -80,7 +80,7 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "fragment": (
         ("printed_line", "visit_flag"),
         """select distinct p.visit_key, p.part, p.part = f.last_part or f.apart as complete,
-          p.visit_key % 29 = 0 as clipped,
+          p.visit_key % 29 = 0 and p.part = f.last_part as clipped,
           cast(case when p.part = f.last_part then 0.50 end as decimal(18,2)) as tax,
           cast(case when f.apart then case when p.part = 1 then f.first_sum else f.second_sum end
                  + case when p.part = f.last_part then 0.50 else 0.00 end

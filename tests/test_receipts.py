@@ -87,7 +87,21 @@ def test_time_first_then_date_and_amount_only_when_one_fits(spark, rows):
         spark, receipt(11, "2020-01-01T10:00:00", "2020-01-01", 99), receipt(12, None, "2020-01-02", 7),
         receipt(13, None, "2020-01-03", 7), receipt(14, None, "2020-01-01", 5),
     )
-    assert rows(ops.receipt_match(here, there), "receipt_id", "txn_id", "by_filename") == [(11, 1, False), (12, 2, True)]
+    assert rows(ops.receipt_match(here, there), "receipt_id", "txn_id", "by_filename") == [
+        (11, 1, False), (12, 2, True), (14, 1, True),
+    ]
+
+
+def test_a_contradicted_visit_stays_free_for_the_next_slip(spark, rows):
+    at = "2020-01-01T10:00:00"
+    there = visits(spark, (1, at, 5), (2, at, 8))
+    here = receipts(
+        spark, receipt(11, at, None, 99), receipt(12, at, None, 4, tax=1, inferred=True), receipt(13, at, None, 8),
+        receipt(14, at, None, 8),
+    )
+    shown, aside = ops.itemise_overlay(there, here)
+    assert rows(shown, "txn_id", "receipt_id") == [(1, 12), (2, 13)]
+    assert rows(aside, "receipt_id", "reason") == [(11, "disagree"), (14, "no visit")]
 
 
 def test_overlay_keeps_what_disagrees_out(spark, rows):
@@ -105,3 +119,33 @@ def test_overlay_keeps_what_disagrees_out(spark, rows):
     # Without a statement a sound receipt is a visit of its own.
     alone, _ = ops.itemise_overlay(there.where(F.lit(False)), here, statement=False)
     assert alone.count() == 4
+
+
+def test_long_seams_past_any_list_of_choices(spark):
+    seam = [(f"S{i}", 1) for i in range(40)]
+    parts = [([("P", 5)] + seam, None), (seam + [("Q", 7)] + seam, None), (seam + [("R", 9)] + seam, None), (seam + [("Z", 3)], 5 + 7 + 9 + 3 + 6 * 40 - 97)]
+    names = [n for _, n in stitched(spark, *parts)]
+    assert len(names) == 4 + 6 * 40 - 97 and [n for n in names if n in "PQRZ"] == ["P", "Q", "R", "Z"]
+
+
+def test_seams_spend_the_surplus_with_most_lines_and_the_first_seam_least():
+    from itertools import product
+    from random import Random
+
+    rng = Random(3)
+    for _ in range(300):
+        openings = [[rng.randint(-2, 4) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 4))]
+        surplus = rng.randint(-2, 8)
+        fits = [t for t in product(*(range(len(o) + 1) for o in openings)) if sum(sum(o[:n]) for o, n in zip(openings, t)) == surplus]
+        expected = min(fits, key=lambda t: (-sum(t), t)) if fits else None
+        found = ops._seams_that_spend(openings, surplus)
+        assert found == (None if expected is None else list(expected))
+
+
+def test_one_clipped_capture_sets_its_whole_receipt_aside(spark):
+    fragments, lines = captures(spark, ([A], None), ([B], 3), ([C], None), ([D], 7))
+    clipped = fragments.withColumn("clipped", F.col("part") == 3)
+    sound, aside = ops.set_aside_clipped(clipped)
+    assert {(r.part, r.receipt_no) for r in aside.collect()} == {(3, 1), (4, 1)}
+    assert {(r.part, r.receipt_no) for r in sound.collect()} == {(1, 0), (2, 0)}
+    assert sorted(r.description for r in ops.stitch(clipped, lines).collect()) == ["A", "B"]
