@@ -9,13 +9,14 @@ from disclens.fixed_values import (
     MULTIPLE_TOLERANCE,
     WHOLE_TOLERANCE,
 )
+from disclens.functions.text import strip
 
 MONEY = "decimal(18,4)"
 
 
 def num_coerce(text: Column) -> Column:
     """A printed amount as a decimal; blank, junk and non-finite text give NULL."""
-    return F.regexp_replace(F.trim(text), "[$,]", "").try_cast(MONEY)
+    return F.regexp_replace(strip(text), "[$,]", "").try_cast(MONEY)
 
 
 def product_key(upc: Column = None, description: Column = None) -> Column:

@@ -6,16 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from disclens.fixed_values import DEPARTMENT_RING, MIN_PRODUCT_CODE, PLACEHOLDER_VALUES
+from disclens.functions.text import strip
 
 
 def normalise(cell: Column) -> Column:
     """Lower case with runs of white space closed up."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " ")))
+    return F.lower(strip(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " ")))
 
 
 def present(cell: Column) -> Column:
     """The trimmed value, or NULL for what stands for nothing."""
-    text = F.trim(cell)
+    text = strip(cell)
     return F.when(~text.isin(PLACEHOLDER_VALUES), text)
 
 
@@ -56,11 +57,11 @@ def range_corner(ref: Column) -> Column:
 def product_code(upc: Column, description: Column) -> Column:
     """EXT-14: the code of a line, or NULL where the code names no product."""
     code = present(upc)
-    ring = F.coalesce(F.trim(description).rlike(DEPARTMENT_RING), F.lit(False))
+    ring = F.coalesce(strip(description).rlike(DEPARTMENT_RING), F.lit(False))
     return F.when((F.length(code) >= MIN_PRODUCT_CODE) & ~ring, code)
 
 
 def tender_join(tenders: Column) -> Column:
     """EXT-11: every tender of a basket, blanks dropped, none at all as NULL."""
-    named = F.filter(F.transform(tenders, lambda x: F.trim(x)), lambda x: x != "")
+    named = F.filter(F.transform(tenders, lambda x: strip(x)), lambda x: x != "")
     return F.nullif(F.array_join(named, " + "), F.lit(""))

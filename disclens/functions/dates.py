@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from disclens.functions.text import strip
+
 ISO = r"^(\d{4})-(\d{2})-(\d{2})"
 US = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?"
@@ -31,9 +33,9 @@ def _clock(text: Column) -> Column:
 
 def ts_normalise(date: Column, time: Column) -> Column:
     """EXT-09: one sortable wall clock; a zeroed placeholder never beats a real clock."""
-    day = F.trim(date)
+    day = strip(date)
     rest = F.regexp_replace(F.regexp_replace(day, ISO, ""), US, "")
-    own, embedded = _clock(F.trim(time)), _clock(rest)
+    own, embedded = _clock(strip(time)), _clock(rest)
     zero = F.lit("00:00:00")
     clock = (
         F.when(own != zero, own)
@@ -45,7 +47,7 @@ def ts_normalise(date: Column, time: Column) -> Column:
 
 def serial_date(cell: Column, date1904: bool = False) -> Column:
     """EXT-10: a spreadsheet day count or a printed date; date only where the cell has no clock."""
-    text = F.trim(cell)
+    text = strip(cell)
     serial = F.when(text.rlike(r"^\d+(?:\.\d+)?$"), text.try_cast("double"))
     # A date past the year 9999 is no date; the bound also keeps the day count an integer.
     counted = F.when((serial >= 1) & (serial < 2958466), F.rint(serial * 86400).cast("bigint"))

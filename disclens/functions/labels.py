@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from disclens.fixed_values import CHARGE_WORDS, PRICE_PREFIX, PURCHASE_TIERS, REGISTER_DEPOSIT
+from disclens.functions.text import strip
 
 
 def clean_label(raw: Column) -> Column:
     """The name without a printed price and without opening punctuation, in any script."""
     without_price = F.regexp_replace(raw, PRICE_PREFIX, "")
-    return F.trim(F.regexp_replace(without_price, r"^[^\p{L}\p{N}]+", ""))
+    return strip(F.regexp_replace(without_price, r"^[^\p{L}\p{N}]+", ""))
 
 
 def words(label: Column) -> Column:
@@ -39,5 +40,5 @@ def tier(purchases: Column) -> Column:
 
 
 def initial_bucket(description: Column) -> Column:
-    first = F.upper(F.left(F.trim(description), F.lit(1)))
+    first = F.upper(F.left(strip(description), F.lit(1)))
     return F.when(first.rlike("^[A-Z]$"), first).otherwise(F.lit("#"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from disclens.fixed_values import CAPTURE_NAME, MIN_CONFIDENCE, NOTHING_MATCHED
 from disclens.functions.dates import capture_date
+from disclens.functions.text import strip
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def format_scores(docs: DataFrame, formats: list[HeaderFormat | ShapeFormat]) ->
             named = F.contains(F.lower("original_filename"), F.lit(f.format_id)).cast("int") * NAMED
             main = F.contains(F.col("text"), F.lit(f.main)).cast("int") * MAIN
             others = F.least(F.lit(OTHER_MOST), _hits(F.col("text"), f.others) * OTHER)
-            declared = F.max(F.lower(F.trim(F.coalesce("declared", F.lit("")))) == f.format_id)
+            declared = F.max(F.lower(strip(F.coalesce("declared", F.lit("")))) == f.format_id)
             score = F.least(
                 F.lit(1.0), F.round(declared.cast("int") * DECLARED + F.sum(F.round(named + main + others, 6)), 6)
             )
@@ -62,7 +63,7 @@ def format_scores(docs: DataFrame, formats: list[HeaderFormat | ShapeFormat]) ->
             score = F.max(F.when(_hits(F.col("text"), f.titles) >= f.needed, f.score).otherwise(0.0))
         columns.append((f.format_id, score))
     columns.append(
-        (FALLBACK_ID, F.max(F.when(F.trim("text") != "", FALLBACK_SCORE).otherwise(0.0)))
+        (FALLBACK_ID, F.max(F.when(strip("text") != "", FALLBACK_SCORE).otherwise(0.0)))
     )
     scored = docs.groupBy("bundle").agg(*[c.cast("double").alias(f"_{name}") for name, c in columns])
     each = F.array(

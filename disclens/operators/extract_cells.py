@@ -9,6 +9,7 @@ from disclens.fixed_values import HEADER_ROWS_READ, MIN_POINT_ROWS, REPEATED_WAR
 from disclens.functions.amounts import num_coerce
 from disclens.functions.cells import a1_locator, normalise, present, product_code
 from disclens.functions.dates import serial_date
+from disclens.functions.text import strip
 from disclens.operators.scale import top_n
 
 SHEET = ["doc_id", "sheet"]
@@ -160,7 +161,7 @@ def cell_kinds(cells: DataFrame) -> DataFrame:
     kind = (
         F.when(text.isNull(), "empty")
         .when(text.rlike(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"), "date")
-        .when(F.trim(text).try_cast("double").isNotNull(), "number")
+        .when(strip(text).try_cast("double").isNotNull(), "number")
         .otherwise("text")
     )
     each = cells.withColumn("kind", kind)

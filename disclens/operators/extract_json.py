@@ -18,6 +18,7 @@ from disclens.fixed_values import ADDRESS_FIELDS, ALIAS_TYPES, GROUP_SCOPES, IDE
 from disclens.functions.amounts import num_coerce
 from disclens.functions.cells import tender_join
 from disclens.functions.dates import ts_normalise
+from disclens.functions.text import strip
 from disclens.operators.disclosure import literal_map
 
 # One token is a whole string (running to the end of the text where it never closes) or a brace.
@@ -40,6 +41,8 @@ def _read(fragment: str) -> tuple[str, str | None]:
     try:
         json.loads(fragment)
         return "ok", fragment
+    except RecursionError:
+        return "unparseable", None
     except ValueError:
         pass
     # The two repairs: a wrapped line inside a string, and a comma before a closing bracket.
@@ -48,7 +51,7 @@ def _read(fragment: str) -> tuple[str, str | None]:
     try:
         json.loads(mended)
         return "repaired", mended
-    except ValueError:
+    except (ValueError, RecursionError):
         return "unparseable", None
 
 
@@ -93,7 +96,7 @@ def json_pairs(body: pd.Series) -> pd.Series:
     def pairs(text: str | None) -> list[dict]:
         try:
             open_nodes = [json.loads(text)] if text else []
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
         out = []
         while open_nodes:
@@ -151,7 +154,7 @@ def _object(v: Column, path: str = "$") -> Column:
 
 
 def _named(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))
 
 
 def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,7 +189,7 @@ def nested_baskets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     i = F.col("item")
     items = elements.where(_object(i).isNotNull()).select(
         "doc_id", "basket_pos", "item_pos",
-        F.coalesce(F.trim(_field(i, "$.purchasedescription")), F.lit("")).alias("description_raw"),
+        F.coalesce(strip(_field(i, "$.purchasedescription")), F.lit("")).alias("description_raw"),
         _named(_field(i, "$.productupc")).alias("upc"),
         num_coerce(_field(i, "$.quantity")).alias("quantity"),
         num_coerce(_field(i, "$.retailamt")).alias("retail_amt"),
@@ -232,7 +235,7 @@ def identity_nested(docs: DataFrame) -> DataFrame:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
         group = F.col("grp_pos") if "grp_pos" in df.columns else F.lit(-1)
         return df.select(
-            "doc_id", as_column(id_type).alias("id_type"), F.trim(value).alias("value"), as_column(scope).alias("scope"),
+            "doc_id", as_column(id_type).alias("id_type"), strip(value).alias("value"), as_column(scope).alias("scope"),
             (group * 2 + place).alias("place"),
         )
 
@@ -276,7 +279,7 @@ def identity_nested(docs: DataFrame) -> DataFrame:
 
 def identity_dedup(identities: DataFrame) -> DataFrame:
     """EXT-18: the first sighting of each identifier of a request; blanks name nothing."""
-    text = F.trim("value")
+    text = strip("value")
     return (
         identities.where(F.coalesce(text, F.lit("")) != "")
         .groupBy("request_id", "id_type", text.alias("value"))
@@ -291,11 +294,11 @@ def identity_dedup(identities: DataFrame) -> DataFrame:
 def identity_unpivot(records: DataFrame) -> DataFrame:
     """EXT-19: a wide customer record as identifier rows; an address describes a household."""
     rows = [
-        F.struct(F.lit(kind).alias("id_type"), F.trim(F.col(field).cast("string")).alias("value"), F.lit(scope).alias("scope"))
+        F.struct(F.lit(kind).alias("id_type"), strip(F.col(field).cast("string")).alias("value"), F.lit(scope).alias("scope"))
         for field, kind, scope in IDENTIFIER_FIELDS
         if field in records.columns
     ]
-    parts = [F.nullif(F.trim(F.col(f).cast("string")), F.lit("")) for f in ADDRESS_FIELDS if f in records.columns]
+    parts = [F.nullif(strip(F.col(f).cast("string")), F.lit("")) for f in ADDRESS_FIELDS if f in records.columns]
     rows.append(
         F.struct(F.lit("address").alias("id_type"), F.concat_ws(", ", *parts).alias("value"), F.lit("household").alias("scope"))
     )

@@ -27,6 +27,7 @@ from disclens.fixed_values import (
     SUPPLEMENTAL_HINT,
     SUPPLEMENTAL_TEXT,
 )
+from disclens.functions.text import strip
 
 
 def occurrences(text: Column, needle: str) -> Column:
@@ -79,7 +80,7 @@ def strip_page_markers(docs: DataFrame) -> DataFrame:
     """
     lines = F.split("text", "\n", -1)
     bare = F.filter(
-        F.transform(lines, lambda line, i: F.struct(i.alias("line"), F.trim(line).alias("text"))),
+        F.transform(lines, lambda line, i: F.struct(i.alias("line"), strip(line).alias("text"))),
         lambda x: x["text"].rlike(r"^\d{1,3}$"),
     )
     candidates = F.transform(
@@ -98,7 +99,7 @@ def strip_page_markers(docs: DataFrame) -> DataFrame:
                 (acc["line"] + 1).alias("line"), acc["offset"].alias("offset"),
                 F.concat(
                     acc["breaks"],
-                    F.array(F.struct(acc["offset"].alias("offset"), F.trim(line).try_cast("int").alias("number"))),
+                    F.array(F.struct(acc["offset"].alias("offset"), strip(line).try_cast("int").alias("number"))),
                 ).alias("breaks"),
             ),
         ).otherwise(
@@ -166,7 +167,7 @@ def _quoted(text: Column, at: Column) -> Column:
     """The whole sentence around a position, white space closed up, cut at the quoting length."""
     head = F.element_at(F.split(F.substr(text, F.lit(1), at - 1), r"[.!?\n]", -1), -1)
     tail = F.regexp_extract(F.substr(text, at), r"^[^.!?\n]*[.!?]?", 0)
-    closed = F.trim(F.regexp_replace(F.concat(head, tail), r"\s+", " "))
+    closed = strip(F.regexp_replace(F.concat(head, tail), r"\s+", " "))
     return F.nullif(F.left(closed, F.lit(QUOTE_LENGTH)), F.lit(""))
 
 
@@ -205,7 +206,7 @@ def sentences(text: Column) -> Column:
     """Prose cut at a full stop before a capital, and at bullets."""
     joined = F.regexp_replace(text, "\n", " ")
     parts = F.split(joined, r"(?<=[.!?])\s+(?=[A-Z])|\s*•\s*", -1)
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != "")
 
 
 def quote_sentences(docs: DataFrame, pattern: str, first_only: bool = False) -> DataFrame:
@@ -273,7 +274,7 @@ def coverage_gap(requests: DataFrame, txns: DataFrame, later: DataFrame) -> Data
 
 def undouble(line: Column) -> Column:
     """A heading printed with every glyph twice, read once; anything else unchanged."""
-    tokens = F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(strip(line), r"\s+"), lambda t: t != "")
     single = F.transform(tokens, lambda t: F.regexp_replace(t, r"(.)\1", "$1"))
     doubled = F.forall(tokens, lambda t: t.rlike(r"^(?:(.)\1)+$")) & (F.size(tokens) > 0) & line.rlike("[A-Za-z]")
     return F.when(doubled, F.array_join(single, " ")).otherwise(F.array_join(tokens, " "))
@@ -339,6 +340,6 @@ def report_fields(lines: DataFrame) -> DataFrame:
         scope(r"\[\s*([a-z]+)\s*:").alias("scope_kind"),
         scope(r":\s*([^\]]*?)\s*\]").alias("scope_id"),
         F.when(F.col("is_cell"), part(r"^([a-z][a-z0-9_]*):")).when(~F.col("is_unread"), part(r"^(\S+)")).alias("key"),
-        F.when(~F.col("is_unread"), F.trim(F.concat(value, F.lit(" "), "wrapped"))).alias("value"),
+        F.when(~F.col("is_unread"), strip(F.concat(value, F.lit(" "), "wrapped"))).alias("value"),
         F.when(F.col("is_unread"), F.col("lines")).otherwise(0).cast("bigint").alias("unread"),
     )

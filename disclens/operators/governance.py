@@ -21,6 +21,7 @@ from disclens.fixed_values import (
     RECONCILE_VERDICTS,
     SKIP_KEY,
 )
+from disclens.functions.text import strip
 
 TOLERANCE = 0.01
 FEE_WORDS = "(?i)BAG|TAX|FEE|DEPOSIT|BOTTLE|CRV|SURCHARGE|RECYCL"
@@ -89,13 +90,13 @@ def inside_remaining_hash(line: Column, match: Column) -> Column:
 
 def suppressed(line: Column, above: Column) -> Column:
     """GOV-05: a marker with a reason, on the line or the one above it."""
-    reason = lambda x: F.trim(F.regexp_extract(x, SUPPRESSION, 1)) != ""
+    reason = lambda x: strip(F.regexp_extract(x, SUPPRESSION, 1)) != ""
     return reason(line) | reason(above)
 
 
 def mask(text: Column) -> Column:
     """GOV-06: enough to find the match, not enough to leak it."""
-    t = F.trim(text)
+    t = strip(text)
     n = F.length(t)
     hidden = F.concat(F.left(t, F.lit(2)), F.repeat(F.lit("*"), n - 4), F.right(t, F.lit(2)))
     return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(hidden)
@@ -155,7 +156,7 @@ def denylist_hits(lines: DataFrame, needles: DataFrame) -> DataFrame:
     the session's own size threshold broadcasts it; otherwise both sides are
     shuffled by word and hot words are split by adaptive execution.
     """
-    listed = needles.select(F.lower(F.trim("needle")).alias("needle")).where("needle <> ''").distinct()
+    listed = needles.select(F.lower(strip("needle")).alias("needle")).where("needle <> ''").distinct()
     words = F.split("needle", _BREAK, -1)
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
@@ -182,7 +183,7 @@ def denylist_hits(lines: DataFrame, needles: DataFrame) -> DataFrame:
 
 def worth_keeping(value: Column) -> Column:
     """Whether a harvested value says enough to be listed."""
-    text = F.trim(value)
+    text = strip(value)
     bare = F.regexp_replace(text, "[- ]", "")
     short_number = bare.rlike(r"^\d+$") & (F.length(F.regexp_replace(text, r"[^0-9]", "")) < MIN_DENY_DIGITS)
     core = F.regexp_replace(text, r"^[0 -]+|[0 -]+$", "")
@@ -200,7 +201,7 @@ def harvest_text(docs: DataFrame) -> DataFrame:
             ]
         )
     )
-    return docs.select(F.explode(found).alias("f")).select("f.bucket", F.trim("f.value").alias("value")).where(
+    return docs.select(F.explode(found).alias("f")).select("f.bucket", strip("f.value").alias("value")).where(
         worth_keeping(F.col("value"))
     )
 
@@ -208,9 +209,9 @@ def harvest_text(docs: DataFrame) -> DataFrame:
 def harvest_json(pairs: DataFrame) -> DataFrame:
     """GOV-09: values of identifying fields."""
     key = F.col("key")
-    named = key.rlike(IDENTIFYING_KEY) & ~key.rlike(SKIP_KEY) & ~F.lower(F.trim("key")).isin(LABEL_KEYS)
+    named = key.rlike(IDENTIFYING_KEY) & ~key.rlike(SKIP_KEY) & ~F.lower(strip("key")).isin(LABEL_KEYS)
     return pairs.where(named & worth_keeping(F.col("value"))).select(
-        F.lit("identifying JSON fields").alias("bucket"), F.trim("value").alias("value")
+        F.lit("identifying JSON fields").alias("bucket"), strip("value").alias("value")
     )
 
 
@@ -236,7 +237,7 @@ def denylist_split(values: DataFrame, corpus: DataFrame) -> DataFrame:
     """GOV-10: whether each value already stands in a corpus; visit dates are kept all the same."""
     seen = denylist_hits(text_lines(corpus), values.select(F.col("value").alias("needle"))).select("needle").distinct()
     return (
-        values.withColumn("needle", F.lower(F.trim("value")))
+        values.withColumn("needle", F.lower(strip("value")))
         .join(seen.withColumn("known", F.lit(True)), "needle", "left")
         .withColumn("known", F.coalesce("known", F.lit(False)))
         .withColumn("kept", ~F.col("known") | (F.col("bucket") == "dates and times of a visit"))
@@ -273,7 +274,7 @@ def number_shape(value: Column) -> Column:
 
 
 def string_shape(text: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     iso, us = r"^(\d{4})-(\d{2})-\d{2}$", r"^(\d{1,2})/\d{1,2}/(\d{4})$"
     month = (
         F.when(t.rlike(iso), F.left(t, F.lit(7)))
@@ -297,7 +298,7 @@ def skeleton_value(key: Column, value: Column, is_number: Column) -> tuple[Colum
 
 def column_profile(cells: DataFrame) -> DataFrame:
     """GOV-13: per column, how many cells hold something and the shape of the first one."""
-    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    filled = strip(F.coalesce("value", F.lit(""))) != ""
     return cells.groupBy("doc_id", "sheet", "col_no").agg(
         F.count_if(filled).alias("non_empty"),
         string_shape(F.min_by(F.coalesce("value", F.lit("")), "row_no")).alias("sample_shape"),

@@ -16,11 +16,12 @@ from disclens.fixed_values import (
     WORKBOOK_UNSETTLED_LABEL,
 )
 from disclens.functions.amounts import num_coerce
+from disclens.functions.text import strip
 
 
 def report_rules(inferences: DataFrame) -> DataFrame:
     """EXT-21: attributes a report lists under `Individual` or `Household`."""
-    label, raw = F.col("label"), F.trim("value_raw")
+    label, raw = F.col("label"), strip("value_raw")
     lowered = F.lower(label)
     number = num_coerce(raw).cast("double")
     leading = F.nullif(F.regexp_extract(raw, ORDINAL_PREFIX, 1), F.lit("")).cast("double")
@@ -54,7 +55,7 @@ def report_rules(inferences: DataFrame) -> DataFrame:
 
 def workbook_rules(inferences: DataFrame) -> DataFrame:
     """EXT-21: attributes of a worksheet, where only the label says what a value is."""
-    label, raw = F.col("label"), F.trim("value_raw")
+    label, raw = F.col("label"), strip("value_raw")
     number = F.when(raw.rlike(r"^-?\d+(?:\.\d+)?$"), raw.try_cast("double"))
     thousands = F.contains(F.lower(label), F.lit("(in thousands)"))
     counted = label.rlike(WORKBOOK_COUNT_LABEL)

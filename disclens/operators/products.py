@@ -11,6 +11,7 @@ from disclens.fixed_values import INDEX_LIMIT, PURCHASE_TIERS, STALE_AFTER_DAYS
 from disclens.functions.amounts import product_key, purchase_amount
 from disclens.functions.dates import day_number, day_text
 from disclens.functions.labels import clean_label, handle_for, is_non_product, tier
+from disclens.functions.text import strip
 from disclens.operators.scale import attach, group_size, top_n
 from disclens.sources.staging import stage
 
@@ -207,7 +208,7 @@ def index_totals(dim: DataFrame) -> DataFrame:
 def index_search(rows: DataFrame, query: str | None = None, min_purchases: int = 1) -> DataFrame:
     """FLT-03/04: applied to finished rows, so totals and names are those of the whole response."""
     if query:
-        needle = F.lower(F.trim(F.lit(query)))
+        needle = F.lower(strip(F.lit(query)))
         rows = rows.where(
             F.contains(F.lower("description"), needle)
             | F.contains(F.lower("match_name"), needle)

@@ -372,15 +372,12 @@ def month_fill(t):
 @query(
     "srt_01_timeline_order",
     sql(
-        """select txn_id, request_id, occurred_at from txn where request_id in
-        (select request_id from txn group by 1 having count(*) >= 12)""",
+        "select txn_id, request_id, occurred_at from txn",
         "txn",
     ),
 )
 def timeline_order(t):
-    busy = t.txn().groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
-    kept = t.txn().join(busy, "request_id", "left_semi")
-    return kept.select("txn_id", "request_id", "occurred_at").orderBy("request_id", "occurred_at", "txn_id")
+    return t.txn().select("txn_id", "request_id", "occurred_at").orderBy("request_id", "occurred_at", "txn_id")
 
 
 @query(

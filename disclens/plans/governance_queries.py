@@ -587,12 +587,12 @@ def masked(t):
     return t.read("customer").select("c_custkey", gov.mask(value).alias("masked"))
 
 
-NEEDLES_SQL = "select distinct lower(trim(n)) as needle from (select unnest(string_split(text, chr(10))) as n from benchmark) where length(trim(n)) >= 6"
+NEEDLES_SQL = "select distinct lower(trim(n)) as needle from (select unnest(string_split(text, chr(10))) as n from benchmark) where length(trim(n)) > 0"
 
 
 def needles(t):
     return t.read("benchmark").select(F.explode(F.split("text", "\n", -1)).alias("needle")).where(
-        F.length(F.trim("needle")) >= 6
+        F.length(F.trim("needle")) > 0
     )
 
 
@@ -648,8 +648,7 @@ def denylist_build_all(t):
 
 
 SPLIT_VALUES = """select 'passage' as bucket, trim(n) as value from (select unnest(string_split(text, chr(10))) as n from benchmark)
-    where length(trim(n)) >= 6 union all select 'dates and times of a visit', concat('', cast(o_orderdate as date)) from orders
-    where o_orderkey % 500 = 0"""
+    where length(trim(n)) > 0 union all select 'dates and times of a visit', concat('', cast(o_orderdate as date)) from orders"""
 
 
 @query(
@@ -660,7 +659,7 @@ SPLIT_VALUES = """select 'passage' as bucket, trim(n) as value from (select unne
 )
 def denylist_split(t):
     passages = needles(t).select(F.lit("passage").alias("bucket"), F.trim("needle").alias("value"))
-    dates = t.read("orders").where("o_orderkey % 500 = 0").select(
+    dates = t.read("orders").select(
         F.lit("dates and times of a visit").alias("bucket"), F.expr("concat('', cast(o_orderdate as date))").alias("value")
     )
     return gov.denylist_split(passages.unionByName(dates).distinct(), t.read("documents"))

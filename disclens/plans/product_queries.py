@@ -277,13 +277,12 @@ def counts(t):
     "prc_02_per_unit",
     sql(
         f"""select item_id, cast({over('loyalty_amt', 'c')} as double) as unit_paid from (select *,
-        case when quantity >= 2 and quantity = round(quantity) then cast(quantity as bigint) end as c from txn_item
-        where loyalty_amt >= 0)""",
+        case when quantity >= 2 and quantity = round(quantity) then cast(quantity as bigint) end as c from txn_item)""",
         "txn_item",
     ),
 )
 def unit(t):
-    return t.txn_item().where("loyalty_amt >= 0").select(
+    return t.txn_item().select(
         "item_id", per_unit(F.col("loyalty_amt"), count_of(F.col("quantity"))).cast("double").alias("unit_paid")
     )
 
@@ -345,13 +344,12 @@ def base_price(t):
 @query(
     "prc_07_near_multiple",
     sql(
-        f"""select item_id, {near('(cast(retail_amt as double) / cast(1.37 as double))')} as multiple from txn_item
-        where retail_amt is not null""",
+        f"""select item_id, {near('(cast(retail_amt as double) / cast(1.37 as double))')} as multiple from txn_item""",
         "txn_item",
     ),
 )
 def near_multiples(t):
-    return t.txn_item().where("retail_amt is not null").select(
+    return t.txn_item().select(
         "item_id", near_multiple(F.col("retail_amt").cast("double") / F.lit(1.37)).alias("multiple")
     )
 

@@ -24,11 +24,11 @@ def near(ratio: str) -> str:
         then cast(round_even({ratio}, 0) as bigint) end"""
 
 
-# half-up division at four places in whole ten-thousandths
+# division at four places, halves away from zero, in whole ten-thousandths
 def over(amount: str, count: str) -> str:
     units = f"cast(cast({amount} as decimal(18,4)) * 10000 as hugeint)"
     return f"""case when {count} is null then cast({amount} as decimal(18,4)) else
-        cast(cast((2 * {units} + {count}) // (2 * {count}) as decimal(24,0)) * 0.0001 as decimal(18,4)) end"""
+        cast(cast(sign({units}) * ((2 * abs({units}) + {count}) // (2 * {count})) as decimal(24,0)) * 0.0001 as decimal(18,4)) end"""
 
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from disclens.functions import cells
 from disclens.functions.amounts import num_coerce
 from disclens.functions.dates import serial_date, ts_normalise
+from disclens.functions.text import strip
 from disclens.operators import bundles, extract_cells, extract_json, extract_text
 from disclens.operators.disclosure import absent_completion
 
@@ -210,3 +211,17 @@ def test_an_impossible_capture_date_is_none(spark, rows):
     assert rows(bundles.capture_files(files), "visit_key", "on_date", "part") == [
         ("cover", None, None), ("shop_022920", "2020-02-29", None), ("shop_133120", None, 2),
     ]
+
+
+def test_very_deep_nesting_costs_its_own_span_only(spark):
+    deep = "{\"a\":" * 30000 + "1" + "}" * 30000
+    docs = spark.createDataFrame([(1, deep + ' {"b": 1}')], "doc_id long, text string")
+    found = extract_json.json_spans(docs).orderBy("start").collect()
+    assert [r.status for r in found] == ["unparseable", "ok"]
+    walked = extract_json.json_walk(spark.createDataFrame([(1, deep), (2, '{"b": 1}')], "doc_id long, json string")).collect()
+    assert [(r.doc_id, r.key, r.value) for r in walked] == [(2, "b", "1")]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    rows = spark.createDataFrame([("\t a b  \n",), ("\x1c",), (None,)], "t string")
+    assert [r[0] for r in rows.select(strip(F.col("t"))).collect()] == ["a b", "", None]
