@@ -17,6 +17,7 @@ from disclens.sources.staging import stage
 MATCH_BYTES = 200
 SEED_BYTES = 40
 BATCHES = 4
+FEW_RUNS = 16
 SEGMENT = 1 << 22
 SUFFIX = ["head", "tail"]
 RUN = ["head", "tail", "offset", "n_windows", "run_hash"]
@@ -131,56 +132,122 @@ def repeated_suffixes(entries: DataFrame, batches: int) -> DataFrame:
     return stage(reduce(DataFrame.union, found).distinct())
 
 
-def _window_hashes(rows: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
-    """``RUN`` columns, the window's offset to its suffix and its hash, for each window of the wanted runs."""
-    by_text = wanted.groupBy(ID, "text_key").agg(F.collect_list(F.struct("first", *RUN)).alias("runs"))
-    texts = rows.join(by_text, _same_row(rows, by_text)).select(TEXT, "runs")
+def _run_bytes(rows: DataFrame, open_runs: DataFrame, match: int) -> DataFrame:
+    """``RUN`` columns, ``n``, ``n_runs`` and all bytes of each open run, read from one text that holds it."""
+    by_text = open_runs.groupBy("place.id", "place.text_key").agg(
+        F.collect_list(F.struct(*RUN, "n", "n_runs", F.col("place.first").alias("first"))).alias("runs")
+    )
+    same = rows[ID].eqNullSafe(by_text["id"]) & (rows["text_key"] == by_text["text_key"])
+    texts = rows.join(by_text, same).select(TEXT, "runs")
+    names = [*RUN, "n", "n_runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column(0)[i].as_py().encode()
-                made = []
-                for r in batch.column(1)[i].as_py():
-                    key = (r["head"], r["tail"], r["offset"], r["n_windows"], r["run_hash"])
-                    first = r["first"]
-                    made += [(*key, r["offset"] - w, digest(data[first + w : first + w + match]) - (1 << 63)) for w in range(r["n_windows"])]
-                if made:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], [*RUN, "at", "window_hash"])
-
-    schema = "head long, tail long, offset int, n_windows int, run_hash long, at int, window_hash long"
+                made = [
+                    (*(r[c] for c in names), data[r["first"] : r["first"] + r["n_windows"] - 1 + match])
+                    for r in batch.column(1)[i].as_py()
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], [*names, "bytes"])
+
+    schema = "head long, tail long, offset int, n_windows int, run_hash long, n long, n_runs long, bytes binary"
     return texts.mapInArrow(run, schema)
 
 
+def common_windows(runs: list[tuple[int, int, int, bytes]], match: int) -> list[list[int]]:
+    """For runs ``(offset, n_windows, n, bytes)`` of one suffix, the windows of each that occur again, as numbers.
+
+    Two windows at equal offsets are equal if what the runs share before the
+    suffix and after it reaches that far, so each pair of runs is compared once.
+    """
+    repeated = [set(range(size)) if n > 1 else set() for _, size, n, _ in runs]
+    before = [data[:offset][::-1] for offset, _, _, data in runs]
+    after = [data[offset:] for offset, _, _, data in runs]
+    for i in range(len(runs)):
+        for j in range(i):
+            left, right = _alike(before[i], before[j]), _alike(after[i], after[j])
+            low = max(match - right, *(runs[k][0] - runs[k][1] + 1 for k in (i, j)))
+            high = min(left, runs[i][0], runs[j][0])
+            for k in (i, j):
+                repeated[k].update(range(runs[k][0] - high, runs[k][0] - low + 1))
+    return [sorted(r) for r in repeated]
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def _windows_of_few(contents: DataFrame, match: int) -> DataFrame:
+    """``RUN`` columns and repeated windows where a suffix has few runs: those are compared with each other."""
+    few = contents.groupBy(*SUFFIX).agg(F.collect_list(F.struct(*RUN, "n", "bytes")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+        for batch in batches:
+            made = []
+            for runs in batch.column(0).to_pylist():
+                found = common_windows([(r["offset"], r["n_windows"], r["n"], r["bytes"]) for r in runs], match)
+                made += [(*(r[c] for c in RUN), own) for r, own in zip(runs, found) if own]
+            columns = list(zip(*made)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*RUN, "windows"])
+
+    schema = "head long, tail long, offset int, n_windows int, run_hash long, windows array<int>"
+    return few.select("runs").mapInArrow(run, schema)
+
+
+def _windows_of_many(contents: DataFrame, match: int) -> DataFrame:
+    """The same where a suffix has many runs: their windows meet by hash, so no group of runs is gathered."""
+    runs = contents.select(*RUN, "n", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                made = []
+                for r in batch.slice(low, 256).to_pylist():
+                    data, times, offset = r["bytes"], min(r["n"], 2), r["offset"]
+                    for w in range(r["n_windows"]):
+                        made.append((r["tail"], r["run_hash"], times, offset - w, digest(data[w : w + match]) - (1 << 63)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*made), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["tail", "run_hash", "times", "at", "window_hash"])
+
+    schema = "tail long, run_hash long, times long, at int, window_hash long"
+    windows = stage(runs.mapInArrow(run, schema))
+    again = windows.groupBy("window_hash", "at").agg(F.sum("times").alias("times")).where("times > 1").drop("times")
+    held = windows.drop("times").join(again, ["window_hash", "at"], "left_semi")
+    by_run = held.groupBy("tail", "run_hash").agg(F.collect_set("at").alias("ats"))
+    found = runs.select(*RUN).join(by_run, ["tail", "run_hash"])
+    return found.select(*RUN, F.transform("ats", lambda a: F.col("offset") - a).alias("windows"))
+
+
 def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a[ID].eqNullSafe(b[ID]) & (a["text_key"] == b["text_key"])
 
 
 def repeated_windows(rows: DataFrame, entries: DataFrame, repeated: DataFrame, match: int) -> DataFrame:
-    """``(source_document_id, text_key, first, windows)``: the repeated windows of each entry, as numbers from its first.
+    """``(source_document_id, text_key, first, n_windows, windows)``: each entry's repeated windows, null for all.
 
-    Entries with an equal run share all their windows. A run that occurs twice
-    is repeated as a whole; where runs of one suffix differ, one text of each
-    run is read again and its windows are compared by their hashes.
+    Entries with an equal run share all their windows, so a run that occurs
+    twice is repeated as a whole. Where the runs of one suffix differ, one text
+    of each run is read again and the runs are compared.
     """
     held = stage(entries.join(repeated, SUFFIX, "left_semi"))
-    runs = stage(
-        held.groupBy(*RUN).agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(ID), "text_key", "first")).alias("place")
-        )
-    )
-    mixed = runs.groupBy(*SUFFIX).agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1").select(*SUFFIX)
-    open_runs = stage(runs.join(mixed, SUFFIX, "left_semi"))
-    wanted = open_runs.select("place.*", *RUN)
-    windows = stage(_window_hashes(rows, wanted, match))
-    key = [*SUFFIX, "at", "window_hash"]
-    counted = windows.join(open_runs.select(*RUN, "n"), RUN).groupBy(*key).agg(F.sum("n").alias("times"))
-    again = windows.join(counted.where("times > 1").select(*key), key, "left_semi")
-    some = again.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.col("offset") - F.col("at"))).alias("windows"))
-    whole = runs.where("n > 1").select(*RUN, F.lit(None).cast("array<int>").alias("windows"))
-    marks = whole.union(some.join(runs.where("n > 1").select(*RUN), RUN, "left_anti"))
+    place = F.struct(F.col(ID).alias("id"), "text_key", "first")
+    runs = stage(held.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")))
+    mixed = runs.groupBy(*SUFFIX).agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
+    contents = stage(_run_bytes(rows, runs.join(mixed, SUFFIX), match))
+    few = _windows_of_few(contents.where(F.col("n_runs") <= FEW_RUNS), match)
+    many = _windows_of_many(contents.where(F.col("n_runs") > FEW_RUNS), match)
+    whole = runs.where("n > 1").select(*RUN)
+    part = few.union(many).join(whole, RUN, "left_anti")
+    # Written first, so that both sides of the join are plain shuffles, of which a hot run's part is split.
+    marks = stage(whole.withColumn("windows", F.lit(None).cast("array<int>")).union(part))
     return held.join(marks, RUN).select(ID, "text_key", "first", "n_windows", "windows")
 
 
