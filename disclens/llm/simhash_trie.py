@@ -214,4 +214,5 @@ def near_copies(
     of_code = held.join(groups, held["first_id"] == groups["node"], "left").select(
         F.col("code").alias("fingerprint"), F.coalesce("component", "first_id").alias("component_id")
     )
-    return found.join(of_code, "fingerprint").select(ID, "fingerprint", "component_id")
+    # Written first, so that both sides of the join are plain shuffles, of which a hot fingerprint's part is split.
+    return found.join(stage(of_code), "fingerprint").select(ID, "fingerprint", "component_id")
