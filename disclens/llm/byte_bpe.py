@@ -5,19 +5,19 @@ from __future__ import annotations
 import base64
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disclens.llm.shared import ID, TEXT, source_text
 from disclens.sources.staging import stage
 
-FREQUENT_WORDS = 100_000
-SAMPLED_DOCUMENTS = 4_000
+FREQUENT_WORDS = 120_000
+SAMPLED_DOCUMENTS = 8_000
 LONGEST_FREQUENT = 64
 NO_RANK = 2147483647
-SEPARATOR = "\x01"
+WORD_END, IDS_END, BUCKET_END = "\x02", "\x01", "\x03"
 PAIR_BITS = 18
-WORD_BITS = 19
+BUCKETS = 1 << 16
 _FACTORS = (1_640_531_527, 1_812_433_253)
 _SHIFTS = (13, 23)
 
@@ -65,35 +65,29 @@ def pair_table(rank_path: str) -> str:
     return ",".join(map(str, cuckoo(entries, PAIR_BITS)))
 
 
-def _rank(left: str, right: str) -> str:
-    """SQL for the rank of two neighbouring tokens; ``pairs`` is the rank map."""
-    key = f"({left} * 65536L + {right})"
-    slot = [f"pairs[cast(shiftright({key} * {f}L, {s}) & {(1 << PAIR_BITS) - 1} as int)]" for f, s in zip(_FACTORS, _SHIFTS)]
-    hit = [f"when shiftright({x}, 16) = {key} then cast({x} & 65535 as int)" for x in slot]
-    return f"case {hit[0]} {hit[1]} else {NO_RANK} end"
-
-
-# Folding a word: its bytes as tokens and the ranks of neighbours; every other step picks the least rank, the first of
-# equal ones, and the step between merges there and looks the two new neighbours up.
-_FOLD = f"""array_join(cast(
-  aggregate(
-    sequence(0, 2 * octet_length(word) - 1),
-    transform(array(transform(sequence(0, octet_length(word) - 1),
-        i -> bytes[cast(conv(substr(hex(word), 2 * i + 1, 2), 16, 10) as int)])),
-      ids -> struct(ids as ids, if(size(ids) < 2, cast(array() as array<int>), transform(sequence(0, greatest(size(ids), 2) - 2),
-        i -> {_rank('ids[i]', 'ids[i + 1]')})) as ranks, 0 as at))[0],
-    (s, step) -> case
-      when step % 2 = 0 then struct(s.ids as ids, s.ranks as ranks, if(coalesce(array_min(s.ranks), {NO_RANK}) = {NO_RANK}, 0,
-        cast(array_position(s.ranks, array_min(s.ranks)) as int)) as at)
-      when s.at = 0 then s
-      else struct(
-        concat(slice(s.ids, 1, s.at - 1), array(s.ranks[s.at - 1]), slice(s.ids, s.at + 2, size(s.ids))) as ids,
-        concat(slice(s.ranks, 1, greatest(s.at - 2, 0)),
-          if(s.at > 1, array({_rank('s.ids[s.at - 2]', 's.ranks[s.at - 1]')}), cast(array() as array<int>)),
-          if(s.at < size(s.ranks), array({_rank('s.ranks[s.at - 1]', 's.ids[s.at + 1]')}), cast(array() as array<int>)),
-          slice(s.ranks, s.at + 2, size(s.ranks))) as ranks,
-        0 as at) end,
-    s -> s.ids) as array<string>), ',')"""
+def _place(way: int) -> str:
+    return f"pairs[cast(shiftright(key * {_FACTORS[way]}L, {_SHIFTS[way]}) & {(1 << PAIR_BITS) - 1} as int)]"
+
+
+def _ranks(keys: str) -> str:
+    """SQL for the ranks of pairs of tokens, each pair as one number; ``pairs`` is the rank map."""
+    hit = lambda e, other: f"if(shiftright({e}, 16) = key, cast({e} & 65535 as int), {other})"
+    second = f"transform(array({_place(1)}), f -> {hit('f', str(NO_RANK))})[0]"
+    return f"transform({keys}, key -> transform(array({_place(0)}), e -> {hit('e', second)})[0])"
+
+
+# Folding a word: its bytes as tokens between two sentinels, and the rank of each pair of neighbours. A step takes the
+# least rank, the first of equal ones, puts the merged token there and looks its two new pairs up.
+_FOLD = f"""array_join(cast(aggregate(
+  sequence(1, greatest(octet_length(word) - 1, 1)),
+  transform(array(concat(array(-1), transform(split(decode(encode(word, 'UTF-8'), 'ISO-8859-1'), ''), c -> bytes[ascii(c)]), array(-1))),
+    ids -> struct(ids as ids, {_ranks('transform(sequence(0, size(ids) - 2), i -> ids[i] * 65536L + ids[i + 1])')} as ranks))[0],
+  (s, n) -> transform(array(array_min(s.ranks)), m -> if(m = {NO_RANK}, s,
+    transform(array(cast(array_position(s.ranks, m) as int)), p -> struct(
+      concat(slice(s.ids, 1, p - 1), array(m), slice(s.ids, p + 2, size(s.ids))) as ids,
+      concat(slice(s.ranks, 1, p - 2), {_ranks('array(s.ids[p - 2] * 65536L + m, m * 65536L + s.ids[p + 1])')},
+        slice(s.ranks, p + 2, size(s.ranks))) as ranks))[0]))[0],
+  s -> slice(s.ids, 2, size(s.ids) - 2)) as array<string>), ',')"""
 
 
 def _bound(name: str, value: str, body: str) -> str:
@@ -101,15 +95,19 @@ def _bound(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _literal(text: str, separator: str, kind: str) -> str:
-    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
-    return f"cast(split('{quoted}', '{separator}') as array<{kind}>)"
+def _literals(**texts: tuple[str, str, str]) -> dict[str, Column]:
+    """Literal arrays by name, each from a text, its separator and the kind of its entries; they are folded once, by the optimiser."""
+    return {n: F.split(F.lit(t), separator).cast(f"array<{kind}>") for n, (t, separator, kind) in texts.items()}
 
 
-def _with_ranks(rank_path: str, body: str) -> str:
+def _rank_map(rank_path: str) -> dict[str, Column]:
     own = ranks_of(rank_path)
     singles = ",".join(str(own[bytes([b])]) for b in range(256))
-    return _bound("bytes", _literal(singles, ",", "int"), _bound("pairs", _literal(pair_table(rank_path), ",", "bigint"), body))
+    return _literals(bytes=(singles, ",", "int"), pairs=(pair_table(rank_path), ",", "bigint"))
+
+
+def _with_ranks(body: str) -> str:
+    return _bound("bytes", "bytes", _bound("pairs", "pairs", body))
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -117,71 +115,72 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), 1)
 
 
-def frequent_words(rows: DataFrame, rank_path: str, pattern: str) -> list[tuple[str, str, int]]:
-    """Words with their token ids and hash: the vocabulary's own, and the most frequent of a bounded sample.
+def frequent_words(rows: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """``(word, ids)``: the vocabulary's own words, and the most frequent of a bounded sample, folded.
 
     They only spare folding the same word again and change no result. The
     sample has at most ``SAMPLED_DOCUMENTS`` texts and gives at most
     ``FREQUENT_WORDS`` words of up to ``LONGEST_FREQUENT`` bytes.
     """
-    spark = rows.sparkSession
     drawn = rows.select(ID).distinct().orderBy(F.xxhash64(F.lit("draw"), ID), ID).limit(SAMPLED_DOCUMENTS)
+    marks = F.lit(f"[{WORD_END}{IDS_END}{BUCKET_END}]")
     words = (
         rows.join(F.broadcast(drawn), ID)
         .select(F.explode(split_words(F.col(TEXT), pattern)).alias("word"))
-        .where((F.octet_length("word") <= LONGEST_FREQUENT) & ~F.contains("word", F.lit(SEPARATOR)))
+        .where((F.octet_length("word") <= LONGEST_FREQUENT) & ~F.regexp_like("word", marks))
         .groupBy("word")
         .count()
         .orderBy(F.desc("count"), "word")
         .limit(FREQUENT_WORDS)
     )
-    folded = stage(words.select("word").repartition(64, "word")).select("word", F.expr(_with_ranks(rank_path, _FOLD)).alias("ids"))
-    whole = {}
+    ranked = stage(words.select("word").repartition(64, "word")).withColumns(_rank_map(rank_path))
+    whole = []
     for token, rank in ranks_of(rank_path).items():
         try:
-            word = token.decode()
+            whole.append((token.decode(), str(rank)))
         except UnicodeDecodeError:
             continue
-        if SEPARATOR not in word:
-            whole[word] = str(rank)
-        elif len(word) > 1:
-            raise ValueError("a token holds the separator of the word list")
-    found = {w: i for w, i in folded.collect()} | whole
-    hashed = spark.createDataFrame(list(found.items()), "word string, ids string").withColumn("h", F.xxhash64("word"))
-    return [tuple(r) for r in hashed.collect()]
-
+    marked = set((WORD_END, IDS_END, BUCKET_END))
+    if any(len(w) > 1 and marked & set(w) for w, _ in whole):
+        raise ValueError("a token holds a separator of the word list")
+    own = rows.sparkSession.createDataFrame([w for w in whole if w[0] not in marked], "word string, ids string")
+    folded = ranked.select("word", F.expr(_with_ranks(_FOLD)).alias("ids"))
+    return own.union(folded.join(own, "word", "left_anti"))
 
-def _word_places(hashed: int) -> tuple[int, int]:
-    mask = (1 << WORD_BITS) - 1
-    return hashed & mask, (hashed % (1 << 64) >> 32) & mask
 
-
-def word_table(words: list[tuple[str, str, int]]) -> tuple[str, str]:
-    """Words and their ids as two texts of equal places; words of equal hash beyond two are left to folding."""
-    own = {h: n for n, (_, _, h) in enumerate(words)}
-    table = cuckoo([(n, _word_places(h)) for h, n in own.items()], WORD_BITS)
-    return tuple(SEPARATOR.join(words[n][c] if n >= 0 else "" for n in table) for c in (0, 1))
+def word_table(words: DataFrame) -> str:
+    """The words with their ids as ``BUCKETS`` texts, each the words of one remainder of their hash."""
+    listed = words.select("word", "ids", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).toArrow()
+    buckets = [IDS_END] * BUCKETS
+    for word, ids, at in zip(*(listed.column(c).to_pylist() for c in ("word", "ids", "bucket"))):
+        buckets[at] += f"{word}{WORD_END}{ids}{IDS_END}"
+    return BUCKET_END.join(buckets)
 
 
 def token_texts(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``(source_document_id, ids)``: the token ids of every whole text, in decimal, joined by commas."""
     rows = source_text(documents)
-    keys, ids = word_table(frequent_words(rows, rank_path, pattern))
-    mask = (1 << WORD_BITS) - 1
-    places = (f"cast(xxhash64(word) & {mask} as int)", f"cast(shiftrightunsigned(xxhash64(word), 32) & {mask} as int)")
-    known = " ".join(f"when known[{p}] = word then known_ids[{p}]" for p in places)
-    each = f"array_join(transform(words, word -> case {known} else {_FOLD} end), ',')"
-    body = _bound("known", _literal(keys, "\\\\x01", "string"), _bound("known_ids", _literal(ids, "\\\\x01", "string"), each))
+    known = word_table(frequent_words(rows, rank_path, pattern))
+    entry = f"concat('{IDS_END}', word, '{WORD_END}')"
+    found = f"substring_index(substring_index(bucket, entry, -1), '{IDS_END}', 1)"
+    each = _bound("entry", entry, _bound("bucket", f"known[cast(xxhash64(word) & {BUCKETS - 1} as int)]", f"if(contains(bucket, entry), {found}, {_FOLD})"))
     worded = rows.select(ID, split_words(F.col(TEXT), pattern).alias("words"))
-    return worded.select(ID, F.expr(_with_ranks(rank_path, body)).alias("ids"))
+    ranked = worded.withColumns(_rank_map(rank_path) | _literals(known=(known, BUCKET_END, "string")))
+    body = _bound("known", "known", f"array_join(transform(words, word -> {each}), ',')")
+    return ranked.select(ID, F.expr(_with_ranks(body)).alias("ids"))
 
 
-def decoded(ids: str, rank_path: str) -> Column:
-    """The bytes of comma-joined token ids: each id's piece, one after another."""
+def with_decoded(rows: DataFrame, rank_path: str) -> DataFrame:
+    """``n_tokens`` and the bytes of comma-joined token ids: each id's piece, one after another."""
     pieces = {rank: token.hex() for token, rank in ranks_of(rank_path).items()}
     listed = ",".join(pieces.get(n, "") for n in range(max(pieces) + 1))
-    body = f"unhex(array_join(transform(split({ids}, ','), id -> pieces[cast(id as int)]), ''))"
-    return F.when(F.col(ids) == "", F.lit(b"")).otherwise(F.expr(_bound("pieces", _literal(listed, ",", "string"), body)))
+    joined = _bound("pieces", "pieces", "array_join(transform(split(ids, ','), id -> pieces[cast(id as int)]), '')")
+    return rows.withColumns(_literals(pieces=(listed, ",", "string"))).select(
+        ID,
+        F.when(F.col("ids") == "", F.lit(0)).otherwise(F.size(F.split("ids", ","))).cast("long").alias("n_tokens"),
+        "ids",
+        F.when(F.col("ids") == "", F.lit(b"")).otherwise(F.unhex(F.expr(joined))).alias("decoded"),
+    )
 
 
 def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -198,6 +197,4 @@ def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> Dat
     encoded one by one; an empty table gives no rows. A word's cost grows with
     the square of its length in bytes.
     """
-    rows = token_texts(documents, rank_path, pattern)
-    n = F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return rows.select(ID, n.cast("long").alias("n_tokens"), "ids", decoded("ids", rank_path).alias("decoded"))
+    return with_decoded(token_texts(documents, rank_path, pattern), rank_path)
