@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from disclens.llm.shared import ID, TEXT, source_text
 from disclens.sources.staging import stage
 
-FREQUENT_WORDS = 120_000
-SAMPLED_DOCUMENTS = 8_000
+FREQUENT_WORDS = 30_000
+SAMPLED_DOCUMENTS = 4_000
 LONGEST_FREQUENT = 64
 NO_RANK = 2147483647
 WORD_END, IDS_END, BUCKET_END = "\x02", "\x01", "\x03"
