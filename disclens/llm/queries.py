@@ -41,7 +41,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with one occurrence of each group of fuzzy lines."""
-    kept = fuzzy_lines.without_repeated_lines(_documents(spark, sf_dir), removed="removed")
+    kept = fuzzy_lines.without_repeated_lines(_documents(spark, sf_dir), budget=None, removed="removed")
     return kept.select(F.col(ID).alias("doc_id"), F.size("removed").cast("long").alias("n_removed"), "text")
 
 
