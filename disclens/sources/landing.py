@@ -38,7 +38,8 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame:
 def file_kind(content: Column, filename: Column) -> Column:
     """By content before suffix, and as an archive only when nothing else fits."""
     head = F.hex(F.substring(content, 1, 16))
-    opening = F.try_validate_utf8(F.substring(content, 1, PROLOG_BYTES))
+    # The cut may go through a character, and a later part need not be text.
+    opening = F.make_valid_utf8(F.substring(content, 1, PROLOG_BYTES).cast("string"))
     suffix = F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
     image = F.lit(None).cast("string")
     for magic, media in IMAGE_MAGIC:

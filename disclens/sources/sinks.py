@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from disclens.sources.staging import stage
 
 BUCKETS = 256
-NESTED_LINES = 10_000
 CHILDREN = ("source_document", "identity", "txn", "inference", "disclosure", "follow_up", "parse_warning")
 
 
@@ -73,21 +72,24 @@ def resolve_doc_id(records: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def load_result(txns: DataFrame, items: DataFrame, most: int = NESTED_LINES) -> DataFrame:
+def load_result(txns: DataFrame, items: DataFrame, most: int | None = None) -> DataFrame:
     """SNK-03: baskets with their lines inside, in stored order.
 
     The nesting is one basket deep. A request is the run of its baskets, never
-    one value, so a very large request stays many rows. A basket of more than
-    ``most`` lines comes in several ``part`` rows of about that size.
+    one value, so a very large request stays many rows. A basket is one row,
+    ``part`` 0, whatever its size; only if ``most`` is given, one of more lines
+    comes in several ``part`` rows of about that size.
     """
-    crowded = (
-        items.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-        .select("txn_id", F.ceil(F.col("n") / most).alias("parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0)).cast("int")
+    part = F.lit(0)
+    if most is not None:
+        crowded = (
+            items.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+            .select("txn_id", F.ceil(F.col("n") / most).alias("parts"))
+        )
+        items = items.join(crowded, "txn_id", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0)).cast("int")
     lines = (
-        items.join(crowded, "txn_id", "left")
-        .groupBy("txn_id", part.alias("part"))
+        items.groupBy("txn_id", part.alias("part"))
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("item_id", "description_raw", "upc", "quantity", "retail_amt", "loyalty_amt"))

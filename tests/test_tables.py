@@ -186,3 +186,16 @@ def test_streamed_months_equal_the_batch_whatever_the_order(spark, tmp_path, inb
     streamed = stream_months(stream, lines, str(tmp_path / "months"))
     columns = ("request_id", "month", "visits", "itemised", "unitemised", "paid", "stated")
     assert rows(streamed, *columns) == rows(month_index(settle(basket_totals(visits, lines))), *columns)
+
+
+def test_a_basket_of_any_size_is_one_row(spark):
+    lines = items(spark, *[(f"i{n:05}", 1, 1, "A", "1", None, 1, 1) for n in range(10_001)]).drop("request_id")
+    nested = sinks.load_result(txns(spark, (1, 1, "2020-01-01", 5)), lines).collect()
+    assert [(r.part, len(r["items"])) for r in nested] == [(0, 10_001)]
+
+
+def test_a_prologue_that_cuts_a_character_is_read(spark):
+    opening = '<?xml version="1.0"?><W xmlns="urn:schemas-microsoft-com:office:spreadsheet">'
+    content = (opening + "x" * (4095 - len(opening)) + "é").encode() * 2
+    files = spark.createDataFrame([("a.xls", bytearray(content))], "original_filename string, content binary")
+    assert landing.doc_manifest(files).first().kind == "spreadsheetml"
