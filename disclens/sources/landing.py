@@ -17,7 +17,7 @@ IMAGE_MAGIC = [
 WEBP_MAGIC = "57454250"
 SPREADSHEET_NAMESPACE = "urn:schemas-microsoft-com:office:spreadsheet"
 WORKBOOK_PART = "xl/workbook.xml"
-PROLOG_BYTES = 4096
+PROLOG_CHARACTERS = 4096
 TEXT_SUFFIXES = ["txt", "text", "json", "csv", "md"]
 MEDIA_TYPES = {
     "pdf": "application/pdf",
@@ -38,8 +38,8 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame:
 def file_kind(content: Column, filename: Column) -> Column:
     """By content before suffix, and as an archive only when nothing else fits."""
     head = F.hex(F.substring(content, 1, 16))
-    # The cut may go through a character, and a later part need not be text.
-    opening = F.make_valid_utf8(F.substring(content, 1, PROLOG_BYTES).cast("string"))
+    # Cut by characters, of which each has four bytes at most; a later part need not be text.
+    opening = F.substring(F.make_valid_utf8(F.substring(content, 1, 4 * PROLOG_CHARACTERS).cast("string")), 1, PROLOG_CHARACTERS)
     suffix = F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
     image = F.lit(None).cast("string")
     for magic, media in IMAGE_MAGIC:
