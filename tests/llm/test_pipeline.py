@@ -83,3 +83,13 @@ def test_run_equals_its_stages_and_empty_tables_pass(spark, tables):
 def test_every_query_of_the_ten_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and not queries.CHECKS
+
+
+def test_unlike_texts_of_one_id_stay_and_copies_without_an_id_go(spark):
+    rng = random.Random(15)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, three), (None, three), (None, two)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, one), (1, two), (None, three)} and kept.count() == 3
