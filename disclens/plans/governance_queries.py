@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from disclens.fixed_values import EMAIL, HARVEST_STREET_TYPES, PII_RULES, RECONCILE_VERDICTS
@@ -16,8 +18,9 @@ from disclens.plans.inputs import check, frame
 from disclens.plans.registry import query
 from disclens.plans.sql_views import VIEWS
 from disclens.session import shared_folder
-from disclens.sources import landing, sinks
+from disclens.sources import landing, sinks, store
 from disclens.sources.canonical import with_tables
+from disclens.sources.staging import stage
 from disclens.streaming.jobs import stream_dedup, stream_months
 
 # -- receipts -----------------------------------------------------------------
@@ -359,25 +362,77 @@ def nested(t):
     return sinks.load_result(t.txn(), t.txn_item().drop("request_id"))
 
 
+# The nine tables of a request as text rows, so that one result compares them all.
+STORED_COLUMNS = {
+    "request": ("retailer_id", "display_name", "report_reference", "submitted_at", "period_start", "period_end", "statute"),
+    "source_document": ("source_document_id", "position", "original_filename", "sha256"),
+    "identity": ("identity_seq", "id_type", "value", "scope", "first_seen"),
+    "txn": ("txn_id", "external_order_id", "occurred_at", "store_code", "division_code", "tender_type", "total_pre_discount", "page", "locator"),
+    "txn_item": ("item_id", "txn_id", "description_raw", "upc", "quantity", "retail_amt", "loyalty_amt"),
+    "inference": ("inference_seq", "label", "value_raw", "scale", "subject", "origin", "bucket"),
+    "disclosure": ("ordinal", "category", "status", "evidence", "notes"),
+    "follow_up": ("ord", "kind", "description", "question"),
+    "parse_warning": ("seq", "severity", "message"),
+}
+STORED_TEXT = {n: "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as string), '~')" for c in cs) + ")" for n, cs in STORED_COLUMNS.items()}
+
+
+def stored_sql(table: str, where: str = "true", again: str = "false") -> str:
+    """The rows of a table after a second save of every third request, and after some requests were removed."""
+    known = "" if table == "request" else " and request_id in (select request_id from request)"
+    text = STORED_TEXT[table].replace("as string", "as varchar")
+    return f"""select '{table}' as "table", request_id, {text} as row from {table}
+        where request_id % 50 <> 7 and (request_id % 3 <> 0 or {again}) and {where}{known}"""
+
+
+def canonical_tables(t):
+    return {name: getattr(t, name)() for name in STORED_COLUMNS}
+
+
+def stored_rows(tables):
+    parts = [df.select(F.lit(n).alias("table"), "request_id", F.expr(STORED_TEXT[n]).alias("row")) for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "snk_01_save_result",
     with_tables(
-        """select 'txn_item' as "table", count(*) as rows, count(distinct item_id) as ids from txn_item
-        union all select 'txn', count(*), count(distinct txn_id) from txn""",
-        "txn", "txn_item",
+        " union all ".join(
+            stored_sql(n, again={"identity": "identity_seq % 2 = 0", "disclosure": "false", "follow_up": "false"}.get(n, "true"))
+            for n in STORED_COLUMNS
+        ),
+        *STORED_COLUMNS,
     ),
 )
 def save_result(t):
+    """Every request saved from its nested form, a third of them saved again with fewer children, some removed; one save breaks off."""
     root = f"{shared_folder(t.spark)}/saved/{uuid4().hex}"
-    flat = sinks.flatten_result(nested(t))
-    sinks.save_tables(flat, root, buckets=16)
-    # Saving the same requests again replaces them.
-    sinks.save_tables({"txn": flat["txn"].where("request_id % 3 = 0")}, root, buckets=16)
-    txn, items = t.spark.read.parquet(f"{root}/txn"), t.spark.read.parquet(f"{root}/txn_item")
-    count = lambda df, name, key: df.agg(
-        F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("ids")
-    )
-    return count(items, "txn_item", "item_id").unionByName(count(txn, "txn", "txn_id"))
+    flat = store.flatten_requests(stage(store.nest_requests(canonical_tables(t))))
+    store.save_requests(flat, root)
+    again = {n: df for n, df in canonical_tables(t).items() if n not in ("disclosure", "follow_up")}
+    again["identity"] = again["identity"].where("identity_seq % 2 = 0")
+    store.save_requests(again | {"request": again["request"].where("request_id % 3 = 0")}, root)
+    store.write_version({"request": again["request"].where("request_id % 3 = 1")}, root)  # never committed
+    store.remove_requests(t.request().where("request_id % 50 = 7"), root)
+    return stored_rows(store.stored_tables(t.spark, root))
+
+
+@query(
+    "snk_01_compact",
+    with_tables(
+        " union all ".join(stored_sql(n, again="false" if n == "txn_item" else "true") for n in ("request", "txn", "txn_item")),
+        "request", "txn", "txn_item",
+    ),
+)
+def compact_store(t):
+    """Three versions brought into one: the same rows, from one version."""
+    root = f"{shared_folder(t.spark)}/saved/{uuid4().hex}"
+    tables = {"request": t.request(), "txn": t.txn(), "txn_item": t.txn_item()}
+    store.save_requests(tables, root)
+    store.save_requests({"request": tables["request"].where("request_id % 3 = 0"), "txn": tables["txn"]}, root)
+    store.remove_requests(t.request().where("request_id % 50 = 7"), root)
+    store.compact(t.spark, root)
+    return stored_rows(store.stored_tables(t.spark, root))
 
 
 @query(
@@ -425,24 +480,48 @@ def load_result(t):
     )
 
 
+NESTED_KEYS = {"request": "request_id", **store.KEYS, "txn_item": "item_id"}
+
+
+@query(
+    "snk_03_load_requests",
+    with_tables(
+        " union all ".join(
+            f"""select '{n}' as "table", request_id, count(*) as rows, md5(string_agg(cast({k} as varchar), ',' order by cast({k} as varchar)))
+            as keys from {n} where request_id in (select request_id from request) group by 2"""
+            for n, k in NESTED_KEYS.items()
+        ),
+        *NESTED_KEYS,
+    ),
+)
+def load_requests(t):
+    """Whole requests, nested in parts of 40 rows: what each table of each request holds."""
+    nested = store.nest_requests(canonical_tables(t), most=40)
+    inside = {
+        **{n: F.col(n)[k].cast("array<string>") for n, k in store.KEYS.items() if n != "txn"},
+        "request": F.when(F.col("request").isNotNull(), F.array(F.col("request_id").cast("string"))),
+        "txn": F.transform(F.filter("txn", lambda x: x["piece"] == 0), lambda x: x["txn_id"].cast("string")),
+        "txn_item": F.flatten(F.transform("txn", lambda x: F.transform(x["items"], lambda i: i["item_id"]))),
+    }
+    held = nested.select("request_id", F.explode(F.array(*[F.struct(F.lit(n).alias("table"), c.alias("keys")) for n, c in inside.items()])).alias("r"))
+    keys = F.array_sort(F.flatten(F.collect_list("r.keys")))
+    whole = held.groupBy("r.table", "request_id").agg(keys.alias("keys")).where(F.size("keys") > 0)
+    return whole.select("table", "request_id", F.size("keys").cast("bigint").alias("rows"), F.md5(F.array_join("keys", ",")).alias("keys"))
+
+
 @query(
     "snk_04_delete_cascade",
     with_tables(
-        """select 'request' as "table", count(*) as rows from request where request_id % 3 <> 0
-        union all select 'txn', count(*) from txn where request_id % 3 <> 0
-        union all select 'txn_item', count(*) from txn_item where request_id % 3 <> 0
-        union all select 'identity', count(*) from identity where request_id % 3 <> 0""",
-        "request", "txn", "txn_item", "identity",
+        " union all ".join(f"""select '{n}' as "table", count(*) as rows from {n} where request_id % 3 <> 0""" for n in STORED_COLUMNS),
+        *STORED_COLUMNS,
     ),
 )
 def cascade(t):
-    tables = {"request": t.request(), "txn": t.txn(), "txn_item": t.txn_item().drop("request_id"), "identity": t.identity()}
+    tables = canonical_tables(t)
+    tables["txn_item"] = tables["txn_item"].drop("request_id")
     left = sinks.delete_cascade(tables, t.request().where("request_id % 3 = 0"))
     parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in left.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -468,20 +547,30 @@ def summary(t):
     return sinks.ingest_summary(t.request(), t.txn(), t.txn_item(), others)
 
 
+# Every foreign key of the tables: child, key, parent, parent's key.
+FOREIGN_KEYS = [
+    *[(n, "request_id", "request", "request_id") for n in STORED_COLUMNS if n not in ("request", "txn_item")],
+    ("txn", "source_document_id", "source_document", "source_document_id"),
+    ("txn_item", "txn_id", "txn", "txn_id"),
+]
+LOST = {"request": "request_id % 10 <> 3", "txn": "txn_id % 50 <> 0", "source_document": "source_document_id % 20 <> 0"}
+
+
 @query(
     "snk_06_dangling_refs",
     with_tables(
-        """select 'txn_item' as "table", txn_id as ref, count(*) as rows from txn_item where txn_id % 50 = 0 group by 2
-        union all select 'identity', request_id, count(*) from identity where request_id % 10 = 3 group by 2""",
-        "txn_item", "identity",
+        " union all ".join(
+            f"""select '{child}.{key}' as "table", {key} as ref, count(*) as rows from {child} where {key} is not null
+            and {key} not in (select {own} from {parent} where {LOST[parent]}) group by 2"""
+            for child, key, parent, own in FOREIGN_KEYS
+        ),
+        *STORED_COLUMNS,
     ),
 )
 def dangling(t):
+    tables = canonical_tables(t)
     return sinks.dangling_refs(
-        [
-            ("txn_item", t.txn_item(), "txn_id", t.txn().where("txn_id % 50 <> 0"), "txn_id"),
-            ("identity", t.identity(), "request_id", t.request().where("request_id % 10 <> 3"), "request_id"),
-        ]
+        [(f"{child}.{key}", tables[child], key, tables[parent].where(LOST[parent]), own) for child, key, parent, own in FOREIGN_KEYS]
     )
 
 

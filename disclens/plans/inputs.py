@@ -99,7 +99,7 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
           case when t.txn_id % 5 = 0 then null when t.txn_id % 23 = 0 then concat(left({_ISO}, 17), '59') else {_ISO} end as stamp,
           left(occurred_at, 10) as named_date,
           case when t.txn_id % 2 = 0 then 'CARD' end as tender, concat('L', t.txn_id % 6) as lane
-        from {{txn}} t join {{visit_flag}} f on f.visit_key = t.txn_id where t.txn_id % 37 <> 0""",
+        from {{txn}} t join {{visit_flag}} f on f.visit_key = t.txn_id""",
     ),
     "visit": (
         ("txn",),

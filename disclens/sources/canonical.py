@@ -117,7 +117,7 @@ IDENTITY_COLUMNS = {
         when event_id % 2 = 0 or user_id % 3 = 1 then null else 'individual' end""",
     "first_seen": "concat('', cast(ts as date))",
 }
-IDENTITY_FILTER = "event_type in ('signup', 'view', 'click') and user_id % 7 <> 3"
+IDENTITY_FILTER = "event_type in ('signup', 'view', 'click')"
 
 INFERENCE_COLUMNS = {
     "inference_seq": "event_id",
@@ -135,7 +135,7 @@ INFERENCE_COLUMNS = {
         else 'appended_third_party' end""",
     "bucket": "case event_id % 3 when 0 then 'Household' else 'Individual' end",
 }
-INFERENCE_FILTER = "event_type in ('purchase', 'error') and user_id % 5 <> 3"
+INFERENCE_FILTER = "event_type in ('purchase', 'error')"
 
 DOCUMENT_COLUMNS = {
     "doc_id": "doc_id",

@@ -1,19 +1,10 @@
-"""Saving, loading and removing requests in the stored tables."""
+"""Tables of requests: baskets with their lines inside, documents by place, counts, broken references. Saving is in ``store``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disclens.sources.staging import stage
-
-BUCKETS = 256
-CHILDREN = ("source_document", "identity", "txn", "inference", "disclosure", "follow_up", "parse_warning")
-
-
-def bucket_of(request_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(request_id), F.lit(buckets)).cast("int")
-
 
 def flatten_result(nested: DataFrame) -> dict[str, DataFrame]:
     """SNK-01: baskets with their lines inside as the flat tables."""
@@ -22,42 +13,6 @@ def flatten_result(nested: DataFrame) -> dict[str, DataFrame]:
     return {"txn": txn, "txn_item": lines.select("request_id", "txn_id", "part", "position", "i.*")}
 
 
-def save_tables(tables: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> None:
-    """SNK-01: write requests, replacing any earlier version of the same ones.
-
-    Tables are partitioned by a bucket of the request, so their number of
-    folders does not grow with the number of requests. Each affected bucket is
-    prepared in the shared folder and then replaced whole; a failure before
-    that leaves the stored tables as they were.
-    """
-    for name, new in tables.items():
-        spark = new.sparkSession
-        path = f"{root}/{name}"
-        incoming = new.withColumn("bucket", bucket_of(F.col("request_id"), buckets))
-        merged = incoming
-        if stored_exists(spark, path):
-            touched = incoming.select("bucket").distinct()
-            others = (
-                spark.read.parquet(path)
-                .join(touched, "bucket", "left_semi")
-                .join(incoming.select("request_id").distinct(), "request_id", "left_anti")
-            )
-            merged = incoming.unionByName(others.select(incoming.columns))
-        # Rebalanced, so small buckets share a task and one holding a hot request is split.
-        ready = stage(merged).hint("rebalance", "bucket")
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def stored_exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
 def resolve_doc_id(records: DataFrame, documents: DataFrame) -> DataFrame:
     """SNK-02: a document's place in its upload as its stored id, the first one where it has none."""
     first = documents.groupBy("request_id").agg(

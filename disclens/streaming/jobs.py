@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from disclens.operators.baskets import basket_totals, settle
 from disclens.session import shared_folder
-from disclens.sources.sinks import stored_exists
+from disclens.sources import files
 
 
 def _finish(query) -> None:
@@ -40,7 +40,7 @@ def stream_dedup(arriving: DataFrame, store: str, checkpoint: str | None = None)
         others = [c for c in batch.columns if c != "sha256"]
         first = F.min(F.struct("landed_at", *[c for c in others if c != "landed_at"]))
         once = batch.groupBy("sha256").agg(first.alias("first")).select("sha256", "first.*")
-        if stored_exists(spark, store):
+        if files.exists(spark, store):
             earlier = spark.read.parquet(store).where((F.col("run") != run) | (F.col("batch") < number))
             once = once.join(earlier.select("sha256"), "sha256", "left_anti")
         once.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")

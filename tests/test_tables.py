@@ -100,20 +100,6 @@ def test_landed_files_are_read_whole(spark, tmp_path, rows):
     ]
 
 
-def test_saving_replaces_a_request_and_keeps_the_others(spark, tmp_path, rows):
-    root = str(tmp_path / "store")
-    lines = items(spark, ("a", 1, 1, "A", "1", None, 5, 4), ("b", 1, 1, "B", "1", None, 5, 4), ("c", 2, 2, "C", "1", None, 1, 1))
-    visits = txns(spark, (1, 1, "2020-01-01", 5), (2, 2, "2020-01-02", 6))
-    nested = sinks.load_result(visits, lines.drop("request_id"))
-    flat = sinks.flatten_result(nested)
-    sinks.save_tables(flat, root, buckets=2)
-    sinks.save_tables({"txn": txns(spark, (3, 1, "2021-01-01", 7)).select(flat["txn"].columns)}, root, buckets=2)
-    assert rows(spark.read.parquet(f"{root}/txn"), "request_id", "txn_id") == [(1, 3), (2, 2)]
-    # Round trip: what was nested comes back as it was.
-    again = sinks.load_result(flat["txn"], spark.read.parquet(f"{root}/txn_item"))
-    assert [(r.txn_id, [i.item_id for i in r["items"]]) for r in again.orderBy("txn_id").collect()] == [(1, ["a", "b"]), (2, ["c"])]
-
-
 def test_a_crowded_basket_comes_in_parts_and_whole(spark):
     lines = items(spark, *[(f"i{n:03}", 1 + n // 250, 1, "A", "1", None, 1, 1) for n in range(260)]).drop("request_id")
     visits = txns(spark, (1, 1, "2020-01-01", 5), (2, 1, "2020-01-01", 5), (3, 1, "2020-01-01", 5))
