@@ -22,6 +22,7 @@ from disclens.fixed_values import (
     SKIP_KEY,
 )
 from disclens.functions.text import strip
+from disclens.operators.literals import literal_hits
 
 TOLERANCE = 0.01
 FEE_WORDS = "(?i)BAG|TAX|FEE|DEPOSIT|BOTTLE|CRV|SURCHARGE|RECYCL"
@@ -40,6 +41,12 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.line_no", "l.line", "l.above")
 
 
+def plain_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no from one, line)."""
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return cut.select("doc_id", (F.col("n") + 1).alias("line_no"), "line")
+
+
 # -- accept tests -------------------------------------------------------------
 
 
@@ -137,48 +144,16 @@ def pii_scan(docs: DataFrame, rules: list[str] | None = None) -> DataFrame:
 
 # -- denylist -----------------------------------------------------------------
 
-GRAM = 4
-_BREAK = r"[^\p{L}\p{N}]+"
-
-
-def _grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
 
-
-def denylist_hits(lines: DataFrame, needles: DataFrame) -> DataFrame:
+def denylist_hits(docs: DataFrame, needles: DataFrame) -> DataFrame:
     """GOV-07: which listed strings stand literally in which lines, whatever the case.
 
-    No line is compared with every needle. A needle with a word between two
-    others can only stand where that whole word stands, so the two sides meet on
-    its longest such word; the few needles without one meet on their opening
-    characters. Candidates are then checked literally. Where the list is small
-    the session's own size threshold broadcasts it; otherwise both sides are
-    shuffled by word and hot words are split by adaptive execution.
+    No line is compared with every needle, and lines that hold no needle's
+    rarest piece never leave their task; see :func:`literals.literal_hits`.
     """
-    listed = needles.select(F.lower(strip("needle")).alias("needle")).where("needle <> ''").distinct()
-    words = F.split("needle", _BREAK, -1)
-    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = listed.withColumn("word", longest)
-    low = lines.select("doc_id", "line_no", F.lower("line").alias("low"))
-
-    # Words leave without their line; the line is fetched again for the candidates alone.
-    words_of = low.select("doc_id", "line_no", F.explode(F.array_distinct(F.split("low", _BREAK, -1))).alias("word"))
-    met = words_of.join(keyed.where(F.col("word").isNotNull()), "word").select("doc_id", "line_no", "needle")
-
-    odd = keyed.where(F.col("word").isNull()).select("needle", F.left("needle", F.lit(GRAM)).alias("gram"))
-    # At most GRAM different lengths, so the plan below only cuts what the list needs.
-    sizes = sorted(r[0] for r in odd.select(F.length("gram")).distinct().collect())
-    if sizes:
-        grams = F.flatten(F.array(*[_grams(F.col("low"), k) for k in sizes]))
-        grams_of = low.select("doc_id", "line_no", F.explode(F.array_distinct(grams)).alias("gram"))
-        met = met.unionByName(grams_of.join(odd, "gram").select("doc_id", "line_no", "needle"))
-    return (
-        low.join(met, ["doc_id", "line_no"])
-        .where(F.contains("low", F.col("needle")))
-        .select("doc_id", "line_no", "needle")
-    )
+    low = plain_lines(docs).select("doc_id", "line_no", F.lower("line").alias("low"))
+    listed = needles.select(F.lower(strip("needle")).alias("needle"))
+    return literal_hits(low, listed, texts=docs.select(F.lower("text").alias("low")))
 
 
 def worth_keeping(value: Column) -> Column:
@@ -235,7 +210,7 @@ def denylist_build(docs: DataFrame, pairs: DataFrame, txns: DataFrame) -> DataFr
 
 def denylist_split(values: DataFrame, corpus: DataFrame) -> DataFrame:
     """GOV-10: whether each value already stands in a corpus; visit dates are kept all the same."""
-    seen = denylist_hits(text_lines(corpus), values.select(F.col("value").alias("needle"))).select("needle").distinct()
+    seen = denylist_hits(corpus, values.select(F.col("value").alias("needle"))).select("needle").distinct()
     return (
         values.withColumn("needle", F.lower(strip("value")))
         .join(seen.withColumn("known", F.lit(True)), "needle", "left")

@@ -690,7 +690,7 @@ def needles(t):
     f"""select doc_id, line_no, needle from ({LINES_SQL}) l join ({NEEDLES_SQL}) n on contains(lower(l.line), n.needle)""",
 )
 def denylist_scan(t):
-    hits = gov.denylist_hits(gov.text_lines(t.read("documents")), needles(t))
+    hits = gov.denylist_hits(t.read("documents"), needles(t))
     return hits.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "needle")
 
 

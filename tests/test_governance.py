@@ -78,7 +78,7 @@ def test_denylist_against_brute_force(spark):
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", "", ", "]) for _ in range(n))
     lines = [text(12) for _ in range(150)]
     needles = sorted({t for n in range(120) if (t := text(1 + n % 4).strip())} | {"x", "en ", "red mill ox"})
-    hits = gov.denylist_hits(gov.text_lines(docs(spark, "\n".join(lines))), spark.createDataFrame([(n,) for n in needles], "needle string"))
+    hits = gov.denylist_hits(docs(spark, "\n".join(lines)), spark.createDataFrame([(n,) for n in needles], "needle string"))
     got = sorted((r.line_no, r.needle) for r in hits.collect())
     listed = {n.strip().lower() for n in needles} - {""}
     assert got == sorted((i, n) for i, line in enumerate(lines, start=1) for n in listed if n in line.lower())
