@@ -145,18 +145,38 @@ def sections(docs: DataFrame, headers: list[str]) -> DataFrame:
     )
 
 
+def last_at_or_before(breaks: Column, offset: Column) -> Column:
+    """The place from 1 of the last of ascending ``breaks`` at or before an offset, by bisection; 0 before the first."""
+    nothing = F.struct(F.lit(0).alias("low"), F.size(breaks).alias("high"))
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / F.lit(2)).cast("int")
+        reached = (at["low"] < at["high"]) & (F.get(breaks, middle)["offset"] <= offset)
+        return F.struct(
+            F.when(reached, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(reached, at["high"]).otherwise(F.least(middle, at["high"])).alias("high"),
+        )
+
+    steps = F.ceil(F.log2(F.size(breaks) + F.lit(1))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), steps), nothing, halved)["low"]
+
+
 def offset_asof(offsets: DataFrame, breaks: DataFrame, value: str, default: Column) -> DataFrame:
-    """EXT-05: the last break at or before each offset, or the default before the first one."""
-    points = offsets.select("doc_id", "offset", F.lit(1).alias("_wanted"), F.lit(None).cast(
-        breaks.schema[value].dataType).alias(value))
-    marks = breaks.select("doc_id", "offset", F.lit(0).alias("_wanted"), value)
-    order = (
-        Window.partitionBy("doc_id").orderBy("offset", "_wanted")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """EXT-05: the last break at or before each offset, or the default before the first one.
+
+    A document's breaks stand beside its offsets as one sorted array, and each
+    offset is found in it by itself: nothing is ordered over a document, and the
+    offsets of one that holds most of them are spread over tasks. Of breaks at
+    the same offset the largest value counts; a missing value is passed over.
+    """
+    marks = (
+        breaks.where(F.col("offset").isNotNull() & F.col(value).isNotNull())
+        .groupBy("doc_id", "offset").agg(F.max(value).alias("_value"))
+        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", "_value"))).alias("_breaks"))
     )
-    filled = points.unionByName(marks).withColumn(value, F.last(value, ignorenulls=True).over(order))
-    return filled.where(F.col("_wanted") == 1).select(
-        "doc_id", "offset", F.coalesce(F.col(value), default).alias(value)
+    place = last_at_or_before(F.col("_breaks"), F.col("offset"))
+    return offsets.select("doc_id", "offset").join(marks, "doc_id", "left").select(
+        "doc_id", "offset", F.coalesce(F.get("_breaks", place - 1)["_value"], default).alias(value)
     )
 
 
