@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disclens.fixed_values import HEADER_ROWS_READ, MIN_POINT_ROWS, REPEATED_WARNINGS
@@ -183,11 +183,8 @@ def locate(cells: DataFrame) -> DataFrame:
     return cells.withColumn("locator", a1_locator(F.col("sheet"), F.col("row_no"), F.col("col_no")))
 
 
-def visit_evidence(counts: DataFrame) -> DataFrame:
-    """EXT-29: what a statement of visits amounts to, counted.
-
-    ``counts`` holds (request_id, visits, stores, itemised, captures).
-    """
+def visit_evidence_text() -> Column:
+    """A statement of visits in words: ``visits``, ``stores``, ``itemised`` and ``captures`` counted."""
     fields = F.when(F.col("stores") > 0, "a date, a store and a total").otherwise("a date and a total")
     detail = F.when(
         F.col("itemised") > 0,
@@ -196,7 +193,12 @@ def visit_evidence(counts: DataFrame) -> DataFrame:
             F.lit(" screen captures of the receipts."),
         ),
     ).otherwise(F.lit("No line items."))
-    return counts.select(
-        "request_id",
-        F.concat(F.col("visits").cast("string"), F.lit(" visits, each with "), fields, F.lit(". "), detail).alias("evidence"),
-    )
+    return F.concat(F.col("visits").cast("string"), F.lit(" visits, each with "), fields, F.lit(". "), detail)
+
+
+def visit_evidence(counts: DataFrame) -> DataFrame:
+    """EXT-29: what a statement of visits amounts to, counted.
+
+    ``counts`` holds (request_id, visits, stores, itemised, captures).
+    """
+    return counts.select("request_id", visit_evidence_text().alias("evidence"))

@@ -191,24 +191,28 @@ def _quoted(text: Column, at: Column) -> Column:
     return F.nullif(F.left(closed, F.lit(QUOTE_LENGTH)), F.lit(""))
 
 
+def category_evidence(text: Column, lexicon: dict[str, list[str]]) -> Column:
+    """The categories a text touches, each with the sentence that shows it."""
+    lowered = F.lower(text)
+    graded = []
+    for category, phrases in lexicon.items():
+        tries = []
+        for phrase in phrases:
+            at = F.instr(lowered, F.lit(phrase))
+            tries.append(F.when(at > 0, _quoted(text, at)))
+        graded.append(F.struct(F.lit(category).alias("category"), F.coalesce(*tries).alias("evidence")))
+    return F.filter(F.array(*graded), lambda g: g["evidence"].isNotNull())
+
+
 def hint_grading(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
     """EXT-22: categories a letter touches, graded `partial`, each with the sentence that shows it.
 
     Phrases are tried in the order of the list; one whose hit stands in no
     sentence gives way to the next.
     """
-    lexicon = lexicon or CATEGORY_HINTS
-    graded = []
-    for category, phrases in lexicon.items():
-        tries = []
-        for phrase in phrases:
-            at = F.instr(F.col("_lowered"), F.lit(phrase))
-            tries.append(F.when(at > 0, _quoted(F.col("text"), at)))
-        graded.append(F.struct(F.lit(category).alias("category"), F.coalesce(*tries).alias("evidence")))
-    hits = F.filter(F.array(*graded), lambda g: g["evidence"].isNotNull())
+    hits = category_evidence(F.col("text"), lexicon or CATEGORY_HINTS)
     return (
-        docs.withColumn("_lowered", F.lower("text"))
-        .select("doc_id", F.explode(hits).alias("g"))
+        docs.select("doc_id", F.explode(hits).alias("g"))
         .select("doc_id", "g.category", F.lit("partial").alias("status"), "g.evidence")
     )
 

@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from disclens.fixed_values import (
     ABSENT_NOTE,
+    ABSENT_NOTES,
+    ASK_TEXT,
+    CATEGORIES_NOTE,
+    CATEGORIES_NOTE_INFERRED,
+    CATEGORIES_SENTENCE,
+    CATEGORY_HINTS,
+    CATEGORY_LABELS,
+    GAP_TEXT,
+    LATER_PURCHASES_QUESTION,
+    LATER_PURCHASES_TEXT,
+    LATER_TEXT,
+    NO_DATA_HINTS,
+    NO_WORDING_TEXT,
+    NOTHING_HELD_TEXT,
     NOTHING_MATCHED,
+    OTHER_HOLDER_INFERRED,
+    OTHER_HOLDER_QUESTION,
+    OTHER_HOLDER_TEXT,
+    PLAIN_READING_TEXT,
+    REPORT_TABLES,
     REQUIRED_TRANSACTION,
+    RETENTION_RULE_TEXT,
     SECTION_HEADERS,
+    SECTIONS_NOTE,
+    STATEMENT_SHAPE_TEXT,
+    SUPPLEMENTAL_TEXT,
+    VISITS_ALONE_NOTE,
+    VISITS_ITEMISED_NOTE,
+    WITHHELD_QUESTION,
+    WITHHELD_SENTENCE,
+    WITHHELD_TEXT,
+    WORDING_NOTE,
 )
 from disclens.functions import cells as cell
 from disclens.functions.amounts import num_coerce
 from disclens.functions.dates import serial_date, ts_normalise
-from disclens.operators import bundles, extract_cells, extract_json, extract_text, inferences
-from disclens.operators.disclosure import absent_completion
-from disclens.plans.disclosure_queries import quoted
+from disclens.operators import bundles, extract_cells, extract_json, extract_text, findings, inferences
+from disclens.operators.disclosure import absent_completion, letters
+from disclens.plans.disclosure_queries import LETTER_SQL, case_of, quoted
 from disclens.plans.inputs import HEADER_NAMES, check, frame
 from disclens.plans.registry import query
+from disclens.sources.staging import stage
 
 # -- scalars ------------------------------------------------------------------
 
@@ -783,6 +815,173 @@ def evidence(t):
     return extract_cells.visit_evidence(counts)
 
 
+# -- findings -----------------------------------------------------------------
+
+
+def response_facts(t):
+    requests = frame(t, "response").withColumn(
+        "tables", F.filter(F.array(*[F.lit(x) for x in REPORT_TABLES]), lambda x, i: F.col("request_id") % (i + 2) == 0)
+    )
+    later = t.identity().select("request_id", F.col("first_seen").alias("on_date"), F.col("id_type").alias("what"))
+    return stage(
+        findings.response_facts(
+            requests, t.txn(), t.txn_item(), frame(t, "prose"), t.identity(), t.inference(), later, F.col("txn_id") % 2 == 0
+        )
+    )
+
+
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace(text, chr(10), ' '),
+    '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '\s*•\s*', chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
+_HINT_ROWS = ", ".join(f"('{c}', {rank}, {quoted(p)})" for c, phrases in CATEGORY_HINTS.items() for rank, p in enumerate(phrases))
+_HELD = " or ".join(f"contains(lower(text), {quoted(h)})" for h in NO_DATA_HINTS)
+_ABSENT = " ".join(f"when '{reader}' then {quoted(note)}" for reader, note in ABSENT_NOTES.items())
+
+
+def worded(text: str, **values: str) -> str:
+    """A wording as SQL, its gaps filled by expressions."""
+    for name, value in values.items():
+        text = text.replace("{" + name + "}", "\x01" + value + "\x02")
+    parts = re.split("(\x01[^\x02]*\x02)", text)
+    return " || ".join(p[1:-1] if p.startswith("\x01") else quoted(p) for p in parts if p)
+
+
+FINDINGS = {
+    "said": (
+        ("prose",),
+        f"""select request_id, text, list_filter(ss, lambda s: regexp_matches(s, {quoted(WITHHELD_SENTENCE)})) as withheld,
+          list_filter(ss, lambda s: regexp_matches(s, {quoted(CATEGORIES_SENTENCE)}))[1] as categories_sentence, {_HELD} as nothing_held,
+          nullif(regexp_extract(text, '(?i)prior to\\s+(\\d{{4}})', 1), '') as earlier_than
+        from (select *, {_SENTENCES} as ss from prose)""",
+    ),
+    "hinted": (
+        ("prose",),
+        rf"""select request_id, category, arg_min(sentence, rank) as evidence from (
+          select request_id, category, rank, nullif(left(trim(regexp_replace(regexp_extract(substr(text, 1, hit - 1), '[^.!?\n]*$')
+            || regexp_extract(substr(text, hit), '^[^.!?\n]*[.!?]?'), '\s+', ' ', 'g')), 400), '') as sentence
+          from (select request_id, text, category, rank, instr(lower(text), phrase) as hit from prose,
+            (values {_HINT_ROWS}) l(category, rank, phrase)) where hit > 0) where sentence is not null group by 1, 2""",
+    ),
+    "fact": (
+        ("response", "txn", "txn_item", "identity", "inference", "said"),
+        f"""select r.*, coalesce(v.visits, 0) as visits, coalesce(v.stores, 0) as stores, coalesce(v.itemised, 0) as itemised,
+          coalesce(v.items, 0) as items, coalesce(v.captures, 0) as captures, v.first_day, v.last_day, coalesce(v.timed, false) as timed,
+          coalesce(f.appended, 0) as appended, coalesce(i.has_email, false) as has_email, s.withheld, s.categories_sentence,
+          coalesce(s.nothing_held, false) as nothing_held, s.earlier_than, s.request_id is not null as report,
+          coalesce(array_to_string(list_filter([{', '.join(quoted(x) for x in REPORT_TABLES)}], lambda x, k: r.request_id % (k + 1) = 0), ', '), '')
+            as tables,
+          nullif(concat_ws(' ',
+            case when years >= 1 then {worded(GAP_TEXT, end="v.last_day", span="case when years >= 2 then cast(floor(years) as bigint) || ' years' else 'a year' end")} end,
+            case when i.later > v.last_day then {worded(LATER_TEXT, what="i.what", day="i.later")} end), '') as gap
+        from (select * from response) r
+        left join (select t.request_id, count(*) as visits, count(store_code) as stores, count(l.lines) as itemised, coalesce(sum(l.lines), 0) as items,
+            count(*) filter (t.txn_id % 2 = 0) as captures, min(left(occurred_at, 10)) as first_day, max(left(occurred_at, 10)) as last_day,
+            bool_or(contains(occurred_at, 'T')) as timed
+          from txn t left join (select txn_id, count(*) as lines from txn_item group by 1) l on l.txn_id = t.txn_id group by 1) v
+          on v.request_id = r.request_id
+        left join (select request_id, count(*) filter (origin = 'appended_third_party') as appended from inference group by 1) f on f.request_id = r.request_id
+        left join (select request_id, bool_or(id_type = 'email') as has_email, max(first_seen) as later,
+            list(id_type order by first_seen desc, id_type desc)[1] as what from identity group by 1) i on i.request_id = r.request_id
+        left join said s on s.request_id = r.request_id
+        left join lateral (select datediff('day', cast(v.last_day as date), cast(left(r.submitted_at, 10) as date)) / 365.25 as years) on true""",
+    ),
+    "found": (
+        ("fact", "hinted"),
+        f"""select request_id, 'SPECIFIC_PIECES' as category, 'partial' as status, visits || ' visits, each with ' || case when stores > 0
+            then 'a date, a store and a total' else 'a date and a total' end || '. ' || case when itemised > 0 then itemised || ' of them itemised, from '
+            || captures || ' screen captures of the receipts.' else 'No line items.' end as evidence,
+          case when itemised > 0 then {worded(VISITS_ITEMISED_NOTE, n="(visits - itemised)")} else {quoted(VISITS_ALONE_NOTE)} end as notes
+        from fact where reader = 'statement'
+        union all select request_id, 'SPECIFIC_PIECES', 'provided', heading, {worded(SECTIONS_NOTE, n="blobs")}
+        from fact where reader = 'sections' and heading is not null
+        union all select request_id, 'CATEGORIES_COLLECTED', 'partial', categories_sentence,
+          {worded(CATEGORIES_NOTE, tables="coalesce(nullif(tables, ''), 'none')")} || case when appended > 0 then {worded(CATEGORIES_NOTE_INFERRED, n="appended")} else '.' end
+        from fact where reader = 'workbook' and categories_sentence is not null
+        union all select request_id, 'SPECIFIC_PIECES', 'partial', nullif(concat_ws('; ',
+            case when visits > 0 then visits || ' purchases with ' || items || ' line items, ' || first_day || ' to ' || last_day end,
+            case when report and profile then 'a loyalty profile' end,
+            case when appended > 0 then appended || ' inferred attributes' end) || '.', '.'),
+          nullif(concat_ws(' ', case when visits > 0 then 'The purchase history has no shelf price beside the amount paid, no basket total, '
+              || case when timed then '' else 'no time of day, ' end || 'no payment method.' end,
+            case when visits > 0 and report then 'Nothing from an app, a website' || case when has_email then '' else ', an email address' end
+              || ' or an online order.' end, case when visits > 0 and report then gap end), '')
+        from fact where reader = 'workbook'
+        union all select h.request_id, h.category, 'partial', h.evidence, {quoted(WORDING_NOTE)} from hinted h join fact f on f.request_id = h.request_id
+        where f.reader = 'plain'""",
+    ),
+    "graded": (
+        ("fact", "found", "categories"),
+        f"""select f.request_id, f.reader, c.category, c.ordinal, coalesce(d.status, 'absent') as status, d.evidence,
+          case when d.status is null then case f.reader {_ABSENT} end else d.notes end as notes
+        from fact f cross join categories c left join found d on d.request_id = f.request_id and d.category = c.category
+        where d.status is not null or f.reader <> 'workbook' or f.report""",
+    ),
+    "asked": (
+        ("fact", "graded"),
+        f"""select request_id, row_number() over (partition by request_id order by place, ordinal) - 1 as ord, kind, description, question from (
+          select request_id, 1 as place, 0 as ordinal, 'clarification' as kind, {quoted(PLAIN_READING_TEXT)} as description, null as question from fact
+            where reader = 'plain'
+          union all select request_id, 2, 0, 'clarification', {quoted(NOTHING_HELD_TEXT)}, null from fact where reader = 'plain' and nothing_held
+          union all select request_id, 3, 0, 'clarification', {worded(OTHER_HOLDER_TEXT, inferred=f"case when appended > 0 then {worded(OTHER_HOLDER_INFERRED, n='appended')} else '' end")},
+            {quoted(OTHER_HOLDER_QUESTION)} from fact where reader = 'workbook' and profile and asked_name <> 'I/ss' and lower(trim(asked_name)) <> lower(trim(holder_name))
+          union all select request_id, 4, 0, 'clarification', {worded(LATER_PURCHASES_TEXT, gap="gap")}, {worded(LATER_PURCHASES_QUESTION, end="last_day")}
+            from fact where reader = 'workbook' and report and visits > 0 and gap is not null
+          union all select request_id, 5, 0, 'clarification', {worded(WITHHELD_TEXT, quoted="array_to_string(withheld, ' ')")}, {quoted(WITHHELD_QUESTION)}
+            from fact where reader = 'workbook' and len(withheld) > 0
+          union all select request_id, 6, 0, 'supplemental_period', {worded(SUPPLEMENTAL_TEXT, year="earlier_than")}, null
+            from fact where reader = 'sections' and earlier_than is not null
+          union all select request_id, 7, 0, 'clarification', {quoted(STATEMENT_SHAPE_TEXT)}, null from fact where reader = 'statement'
+          union all select request_id, 8, 0, 'missing_category', {quoted(RETENTION_RULE_TEXT)}, null from fact where reader = 'statement'
+          union all select g.request_id, 9, g.ordinal, 'missing_category', case when g.reader = 'plain' then
+            {worded(NO_WORDING_TEXT, category=case_of('g.category', CATEGORY_LABELS))} else
+            {worded(ASK_TEXT, retailer="f.display_name", category=case_of('g.category', CATEGORY_LABELS))} end, null
+            from graded g join fact f on f.request_id = g.request_id where g.status = 'absent' and g.reader <> 'statement')""",
+    ),
+}
+
+
+@query(
+    "ext_29_evidence_rules",
+    check("select request_id, category, ordinal, status, evidence, notes from graded", "graded", **FINDINGS),
+)
+def evidence_rules(t):
+    """Every response graded by the rules of how it was read, absent categories included."""
+    return findings.disclosure_evidence(response_facts(t)).withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+@query(
+    "ext_30_clarifications",
+    check("select request_id, cast(ord as bigint) as ord, kind, description, question from asked", "asked", **FINDINGS),
+)
+def clarifications(t):
+    """Everything worth asking about each response: clarifications, earlier periods, missing categories."""
+    facts = response_facts(t)
+    return findings.follow_ups(facts, findings.disclosure_evidence(facts)).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query(
+    "agg_26_letter_of_findings",
+    check(
+        re.sub(r"\bfrom follow_up\b", "from asked", re.sub(r"\bfrom disclosure\b", "from graded", LETTER_SQL)),
+        "request", "graded", "asked", **FINDINGS,
+    ),
+)
+def letter_of_findings(t):
+    """The letters that the derived evidence and questions call for."""
+    facts = response_facts(t)
+    graded = findings.disclosure_evidence(facts)
+    return letters(t.request(), graded, findings.follow_ups(facts, graded))
+
+
+@query("ext_22_statutory_phrases", check("select request_id as doc_id, category, 'partial' as status, evidence from hinted", "hinted", **FINDINGS))
+def statutory_phrases(t):
+    return extract_text.hint_grading(frame(t, "prose").withColumnRenamed("request_id", "doc_id"))
+
+
+@query("ext_23_statutory_hints", check("select request_id as doc_id, nothing_held from said", "said", **FINDINGS))
+def statutory_hints(t):
+    return frame(t, "prose").select(F.col("request_id").alias("doc_id"), extract_text.no_data_hint(F.col("text")).alias("nothing_held"))
+
+
 # -- bundles ------------------------------------------------------------------
 
 FORMATS = [

@@ -117,6 +117,26 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
               when 2 then '' else 'Data we hold to communicate and advertise to you in a personalized way:' end as h2
           from {document}) as h""",
     ),
+    "response": (
+        ("request",),
+        """select request_id, display_name, submitted_at, request_id % 3 <> 0 as profile,
+          case when request_id % 8 in (0, 1) then 'statement' when request_id % 8 in (2, 3) then 'workbook'
+            when request_id % 8 in (4, 5) then 'sections' else 'plain' end as reader,
+          case when request_id % 5 = 0 then 'I/ss' else concat(' ', display_name, '  ') end as asked_name,
+          case when request_id % 7 = 2 then lower(display_name) else 'Ann' end as holder_name,
+          case when request_id % 24 = 4 then null else 'Section 1: Specific Pieces of Personal Information Collected' end as heading,
+          request_id % 9 as blobs from {request}""",
+    ),
+    "prose": (
+        ("document",),
+        """select request_id, concat(text, '.',
+            case when doc_id % 3 = 0 then ' These are the categories of personal data.' else '' end,
+            case when doc_id % 5 < 2 then ' We do not include it. Some is exempt by law.' else '' end,
+            case when doc_id % 7 = 6 then ' We have no record of sales.' else '' end,
+            case when doc_id % 4 = 0 then concat(' For data prior to ', 1990 + doc_id % 9, ' write to us.') else '' end,
+            case when doc_id % 9 = 6 then ' The business purpose is service. It was obtained from you.' else '' end) as text
+          from {document} where position = 0""",
+    ),
     "bundled": (
         ("document",),
         """select doc_id - doc_id % 3 as bundle, doc_id % 3 as position, doc_id, text, original_filename,
