@@ -155,29 +155,6 @@ def column_redundancy(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cell_kinds(cells: DataFrame) -> DataFrame:
-    """GOV-13: the shape of each sheet: its size, gaps and the kinds of its cells."""
-    text = F.col("value")
-    kind = (
-        F.when(text.isNull(), "empty")
-        .when(text.rlike(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"), "date")
-        .when(strip(text).try_cast("double").isNotNull(), "number")
-        .otherwise("text")
-    )
-    each = cells.withColumn("kind", kind)
-    rows = each.groupBy(*SHEET, "row_no").agg(
-        F.max("col_no").alias("width"),
-        F.max(F.col("kind") == "empty").alias("sparse"),
-        *[F.count_if(F.col("kind") == k).alias(f"{k}_cells") for k in ("date", "number", "text")],
-    )
-    return rows.groupBy(*SHEET).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max("width").cast("bigint").alias("columns"),
-        F.count_if("sparse").alias("sparse_rows"),
-        *[F.sum(f"{k}_cells").alias(f"{k}_cells") for k in ("date", "number", "text")],
-    )
-
-
 def locate(cells: DataFrame) -> DataFrame:
     """SC-01 on every cell."""
     return cells.withColumn("locator", a1_locator(F.col("sheet"), F.col("row_no"), F.col("col_no")))

@@ -271,15 +271,6 @@ def skeleton_value(key: Column, value: Column, is_number: Column) -> tuple[Colum
     return skeleton_key(key), shape
 
 
-def column_profile(cells: DataFrame) -> DataFrame:
-    """GOV-13: per column, how many cells hold something and the shape of the first one."""
-    filled = strip(F.coalesce("value", F.lit(""))) != ""
-    return cells.groupBy("doc_id", "sheet", "col_no").agg(
-        F.count_if(filled).alias("non_empty"),
-        string_shape(F.min_by(F.coalesce("value", F.lit("")), "row_no")).alias("sample_shape"),
-    )
-
-
 # -- reconciliation -----------------------------------------------------------
 
 

@@ -8,9 +8,10 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from disclens.fixed_values import EMAIL, HARVEST_STREET_TYPES, PII_RULES, RECONCILE_VERDICTS
+from disclens.fixed_values import CELL_DATE, CELL_NUMBER, EMAIL, HARVEST_STREET_TYPES, PII_RULES, RECONCILE_VERDICTS
 from disclens.operators import governance as gov
 from disclens.operators import receipts as rc
+from disclens.operators import skeletons
 from disclens.operators.baskets import basket_totals, settle
 from disclens.plans.basket_queries import money
 from disclens.plans.disclosure_queries import quoted
@@ -811,34 +812,87 @@ def skeleton_value(t):
     return t.read("lineitem").select(F.expr(LINE_ID).alias("id"), field.alias("field"), shape.alias("shape"))
 
 
+NESTED = """concat('{"user": {"id": "u', user_id, '", "props": ', props, '}, "seen": [{"at": "', cast(ts as date), '", "n": ',
+    cast(value as decimal(18,2)), '}, {"at": "1/2/2003", "n": -0.05}, {"at": "soon", "n": 0}], "deep": [[[[{"x": [true, null]}, {}]]], []], "',
+    user_id + 1000000000, '": {"mail@x.org": "y"}, "none": null}')"""
+
+
+@query(
+    "gov_12_nested_skeleton",
+    rf"""with doc as (select event_id as doc_id, {NESTED} as json from events)
+    select doc_id, path, shape, count(*) as n from (
+      select doc_id, replace(replace(regexp_replace(regexp_replace(fullkey, '\[\d+\]', '[]', 'g'), '"\d{{10}}"', '<key:len=10>'),
+          '"mail@x.org"', '<key:len=10>'), '"', '') as path,
+        case when type in ('OBJECT', 'ARRAY') then case type when 'OBJECT' then '{{}}' else '[]' end when type in ('NULL', 'BOOLEAN') then coalesce(atom::varchar, 'null')
+          when type = 'VARCHAR' then case when regexp_matches(s, '^\d{{4}}-\d{{2}}-\d{{2}}$') then '<date:' || left(s, 7) || '>'
+            when s = '1/2/2003' then '<date:2003-01>' else '<str:len=' || length(s) || '>' end
+          when cast(s as double) = 0 then '<num:0>'
+          else '<num:' || case when cast(s as double) < 0 then '-' else '' end || '1e' || cast(floor(log10(abs(cast(s as double)))) as bigint) || '>' end as shape
+      from (select d.doc_id, t.fullkey, t.type, t.atom, trim(t.atom::varchar, '"') as s, t.value from doc d, lateral json_tree(d.json) t
+        where t.type not in ('OBJECT', 'ARRAY') or t.value::varchar in ('{{}}', '[]')))
+    group by all""",
+)
+def nested_skeleton(t):
+    """Nested documents as paths and shapes, however deep."""
+    return skeletons.nested_skeleton(t.read("events").selectExpr("event_id as doc_id", f"{NESTED} as json"))
+
+
+SHEETS = {
+    "sheet_row_of": (
+        ("cells",),
+        """select doc_id, row_no, count(value) as held, count(*) filter (coalesce(value, '') <> '') as filled, max(col_no) as width from cells group by 1, 2""",
+    ),
+    "head": (
+        ("sheet_row_of",),
+        """select doc_id, coalesce(min(row_no) filter (filled > 1), min(row_no)) as head from (
+          select *, row_number() over (partition by doc_id order by row_no) as n from sheet_row_of) where n <= 4 group by 1""",
+    ),
+    "kind": (
+        ("cells", "head"),
+        rf"""select c.*, h.head, case when value is null then 'empty' when regexp_matches(value, {quoted(CELL_DATE)}) then 'date'
+          when regexp_matches(value, {quoted(CELL_NUMBER)}) then 'number' else 'text' end as kind from cells c join head h on h.doc_id = c.doc_id""",
+    ),
+}
+
+
 @query(
     "gov_13_skeleton_profile",
     check(
-        r"""select doc_id, count(distinct row_no) as rows, cast(max(col_no) as bigint) as columns,
-          count(distinct row_no) filter (value is null) as sparse_rows,
-          count(*) filter (k = 'date') as date_cells, count(*) filter (k = 'number') as number_cells, count(*) filter (k = 'text') as text_cells
-        from (select *, case when value is null then 'empty' when regexp_matches(value, '\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b') then 'date'
-            when try_cast(nullif(trim(value), '') as double) is not null then 'number' else 'text' end as k from cells) group by 1""",
-        "cells",
+        """select r.doc_id, count(*) as rows, cast(max(r.width) as bigint) as columns, any_value(d.declared_rows) as declared_rows,
+          any_value(d.declared_columns) as declared_columns, count(*) filter (r.row_no > h.head and r.held < r.width) as sparse_rows,
+          any_value(k.kinds) as cell_types, any_value(n.header) as header
+        from sheet_row_of r join head h on h.doc_id = r.doc_id
+        left join (select doc_id, 100 + doc_id % 7 as declared_rows, doc_id % 5 as declared_columns from cells where doc_id % 2 = 0 group by doc_id) d on d.doc_id = r.doc_id
+        left join (select doc_id, string_agg(distinct kind, ',' order by kind) as kinds from kind where row_no > head group by 1) k on k.doc_id = r.doc_id
+        left join (select doc_id, string_agg(value, '|' order by col_no) as header from kind where row_no = head group by 1) n on n.doc_id = r.doc_id
+        group by 1""",
+        "sheet_row_of", "head", "kind", **SHEETS,
     ),
 )
 def profile(t):
-    from disclens.operators.extract_cells import cell_kinds
-
-    return cell_kinds(frame(t, "cells")).drop("sheet")
+    cells = frame(t, "cells")
+    declared = cells.where("doc_id % 2 = 0").select("doc_id", "sheet").distinct().selectExpr(
+        "*", "100 + doc_id % 7 as declared_rows", "doc_id % 5 as declared_columns"
+    )
+    found = skeletons.sheet_profile(cells, declared).drop("sheet")
+    return found.withColumns({"cell_types": F.array_join("cell_types", ","), "header": F.array_join("header", "|")})
 
 
 @query(
     "gov_13_column_profile",
     check(
-        r"""select doc_id, col_no, count(*) filter (trim(coalesce(value, '')) <> '') as non_empty,
-          case when regexp_full_match(trim(s), '\d{4}-\d{2}-\d{2}') then '<date:' || left(trim(s), 7) || '>' else '<str:len=' || length(s) || '>' end as sample_shape
-        from (select *, first_value(coalesce(value, '')) over (partition by doc_id, col_no order by row_no) as s from cells) group by 1, 2, s""",
-        "cells",
+        r"""select doc_id, col_no, any_value(name) as name, count(*) filter (row_no > head and trim(coalesce(value, '')) <> '') as non_empty,
+          case when regexp_full_match(trim(any_value(s)), '\d{4}-\d{2}-\d{2}') then '<date:' || left(trim(any_value(s)), 7) || '>'
+            when regexp_full_match(trim(any_value(s)), '\d{1,2}/\d{1,2}/\d{4}')
+              then '<date:' || right(trim(any_value(s)), 4) || '-' || lpad(split_part(trim(any_value(s)), '/', 1), 2, '0') || '>'
+            else '<str:len=' || length(any_value(s)) || '>' end as sample_shape
+        from (select *, first_value(coalesce(value, '')) over (partition by doc_id, col_no order by row_no <= head, row_no) as s,
+            max(case when row_no = head then value end) over (partition by doc_id, col_no) as name from kind where row_no >= head) group by 1, 2""",
+        "kind", **SHEETS,
     ),
 )
 def columns(t):
-    return gov.column_profile(frame(t, "cells")).drop("sheet")
+    return skeletons.column_profile(frame(t, "cells")).drop("sheet")
 
 
 # The source says what the store should hold: some lines were lost, some amounts misread.
