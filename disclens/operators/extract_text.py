@@ -6,6 +6,8 @@ so nothing is exploded and regrouped to read a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from disclens.fixed_values import (
     REPORT_MODES,
     REPORT_PERIOD,
     REPORT_ROW_LABEL,
+    REQUEST_DETAILS,
+    REQUEST_LABELS,
     SUPPLEMENTAL_HINT,
     SUPPLEMENTAL_TEXT,
 )
@@ -296,39 +300,116 @@ def coverage_gap(requests: DataFrame, txns: DataFrame, later: DataFrame) -> Data
 # -- key/value reports --------------------------------------------------------
 
 
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(strip(line), r"\s+"), lambda t: t != "")
+
+
+def _single(token: Column) -> Column:
+    """A token printed with every glyph twice, read once; anything else unchanged."""
+    return F.when(token.rlike(DOUBLED), F.regexp_replace(token, r"(.)\1", "$1")).otherwise(token)
+
+
+DOUBLED = r"^(?:(.)\1)+$"
+
+
+def _doubled(line: Column) -> Column:
+    tokens = _tokens(line)
+    return F.forall(tokens, lambda t: t.rlike(DOUBLED)) & (F.size(tokens) > 0) & line.rlike(r"\p{L}")
+
+
 def undouble(line: Column) -> Column:
-    """A heading printed with every glyph twice, read once; anything else unchanged."""
-    tokens = F.filter(F.split(strip(line), r"\s+"), lambda t: t != "")
-    single = F.transform(tokens, lambda t: F.regexp_replace(t, r"(.)\1", "$1"))
-    doubled = F.forall(tokens, lambda t: t.rlike(r"^(?:(.)\1)+$")) & (F.size(tokens) > 0) & line.rlike("[A-Za-z]")
-    return F.when(doubled, F.array_join(single, " ")).otherwise(F.array_join(tokens, " "))
+    """A heading printed with every glyph twice, read once; of anything else the words."""
+    tokens = _tokens(line)
+    return F.array_join(F.when(_doubled(line), F.transform(tokens, _single)).otherwise(tokens), " ")
+
+
+def title_of(line: Column) -> Column:
+    """The heading that a line is, or NULL: every token printed twice, or plainly a known heading.
+
+    Only a heading is ever undoubled, so a value is free to look doubled.
+    """
+    plain = F.array_join(_tokens(line), " ")
+    known = plain.isin(*REPORT_MODES, REQUEST_DETAILS) | (plain.rlike(REPORT_HEADING) & ~plain.rlike(REPORT_KEY_LINE))
+    return F.when(_doubled(line), undouble(line)).when(known, plain)
+
+
+def request_fields(line: Column, labels: list[str] = REQUEST_LABELS) -> Column:
+    """The labels of a line of several, in order, each with the words up to the next: ``array<struct<at, key, value>>``.
+
+    Labels are compared undoubled and whatever the case; every other word
+    belongs to the value of the label before it, as it is.
+    """
+    tokens = _tokens(line)
+    low = F.transform(tokens, lambda t: F.lower(_single(t)))
+
+    def label_at(i: Column) -> Column:
+        found = []
+        for label in sorted(labels, key=lambda text: -len(text.split())):
+            words = label.lower().split()
+            found.append(F.when(F.slice(low, i, F.lit(len(words))) == F.array(*[F.lit(w) for w in words]), F.lit(label)))
+        return F.coalesce(*found)
+
+    starts = F.filter(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.struct(i.alias("at"), label_at(i).alias("key"))),
+        lambda s: s["key"].isNotNull(),
+    )
+    value = lambda s, n: F.slice(
+        tokens, s["at"] + F.size(F.split(s["key"], " ")),
+        F.coalesce(F.get(starts, n + 1)["at"], F.size(tokens) + 1) - s["at"] - F.size(F.split(s["key"], " ")),
+    )
+    return F.transform(starts, lambda s, n: F.struct(s["at"].alias("at"), s["key"].alias("key"), F.array_join(value(s, n), " ").alias("value")))
 
 
 def report_fields(lines: DataFrame) -> DataFrame:
     """EXT-44: the fields of a line-oriented report, wrapped values joined to the key above them.
 
-    ``lines`` holds (doc_id, line_no, line). Lines that are neither
-    fields, wraps nor row labels are counted as unread.
+    ``lines`` holds (doc_id, line_no, line). Values are kept as they are
+    printed, white space inside them included. The request details, several
+    labels on a line, come as fields of a section of that name, the last
+    occurrence of each label. Lines of the report that are neither fields, wraps
+    nor row labels are counted as unread.
     """
-    text = F.col("text")
+    text, title = F.col("text"), F.col("title")
     running = lambda *by: Window.partitionBy(*by).orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    control = text.isin(REPORT_MODES) | (F.lower("text") == "request details")
+    asked = F.lower("title") == REQUEST_DETAILS.lower()
+    control = F.coalesce(title.isin(REPORT_MODES) | asked, F.lit(False))
+    heading = F.coalesce(title.rlike(REPORT_HEADING), F.lit(False)) & ~control
     key_line = text.rlike(REPORT_KEY_LINE)
-    heading = text.rlike(REPORT_HEADING) & ~key_line & ~control
     cell_line = text.rlike(REPORT_CELL_LINE)
     footer = text.rlike(REPORT_FOOTER)
-    in_section = running("doc_id", "section_no")
-    placed = (
-        lines.withColumn("text", undouble(F.col("line")))
+    read = (
+        lines.withColumn("text", strip("line"))
         .where(text != "")
+        .withColumn("title", title_of(F.col("line")))
         .withColumn("page", (F.count_if(footer).over(running("doc_id")) + 1).cast("bigint"))
         .where(~footer)
-        .withColumn("mode", F.last(F.when(control, text), ignorenulls=True).over(running("doc_id")))
-        .where((F.col("mode") == DETAILED_REPORT) & ~control)
-        .withColumn("section_no", F.count_if(heading).over(running("doc_id")))
-        .withColumn("section", F.last(F.when(heading, text), ignorenulls=True).over(running("doc_id")))
+        .withColumn("mode", F.last(F.when(control, F.when(asked, REQUEST_DETAILS).otherwise(title)), ignorenulls=True).over(running("doc_id")))
+        .where(~control)
+    )
+    return _section_fields(read.where(F.col("mode") == DETAILED_REPORT), heading, key_line, cell_line, running).unionByName(
+        _request_rows(read.where(F.col("mode") == REQUEST_DETAILS))
+    )
+
+
+def _request_rows(lines: DataFrame) -> DataFrame:
+    found = lines.select("doc_id", "line_no", "page", F.explode(request_fields(F.col("text"))).alias("f"))
+    last = F.max(F.struct("line_no", "f.at", "page", "f.value"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return found.groupBy("doc_id", F.col("f.key").alias("key")).agg(last.alias("last")).select(
+        "doc_id", nothing("bigint").alias("section_no"), nothing("bigint").alias("field_no"), "last.page",
+        F.lit(REQUEST_DETAILS).alias("section"), nothing("string").alias("scope_kind"), nothing("string").alias("scope_id"),
+        "key", "last.value", F.lit(0).cast("bigint").alias("unread"),
+    )
+
+
+def _section_fields(lines: DataFrame, heading: Column, key_line: Column, cell_line: Column, running: Callable) -> DataFrame:
+    text = F.col("text")
+    in_section = running("doc_id", "section_no")
+    placed = (
+        lines.withColumn("section_no", F.count_if(heading).over(running("doc_id")))
+        .withColumn("section", F.last(F.when(heading, F.col("title")), ignorenulls=True).over(running("doc_id")))
         .where(~heading)
         .withColumn("records", F.count_if(cell_line).over(in_section))
         .withColumn("fields", F.count_if(key_line).over(in_section))

@@ -1087,18 +1087,21 @@ def failures(t):
     """with c as (select c_custkey as k, c_nationkey as n, c_mktsegment as m from customer)
     select k as doc_id, 1 as page, 'Profile Details' as section, 'card' as scope_kind, concat('12', k) as scope_id,
       'Card_nbr' as key, concat('', n) as value, 0 as unread from c
-    union all select k, 1, 'Profile Details', 'card', concat('12', k), 'Address', '1 Main St ' || m || ' CA', 0 from c
+    union all select k, 1, 'Profile Details', 'card', concat('12', k), 'Address', '1 Main St ' || m || ' CA AABB 1122 a   b', 0 from c
     union all select k, 2, 'Profile Details', 'card', concat('12', k), 'Phone', case when k % 2 = 0 then '' else 'none' end, 0 from c
     union all select k, 2, 'Preference Details', null, null, 'os_cust_id', concat('', k), 0 from c
     union all select k, 2, 'Preference Details', null, null, 'pref', 'yes', 0 from c
     union all select k, 2, 'Preference Details', null, null, 'os_cust_id', concat('', k + 1), 0 from c
     union all select k, 2, 'Preference Details', null, null, null, null, 1 from c where k % 3 = 0
-    union all select k, 1, '', null, null, null, null, 1 from c""",
+    union all select k, 1, '', null, null, null, null, 1 from c
+    union all select k, 1, 'Request details', null, null, v.key, replace(v.value, '{k}', concat('', k)), 0 from c, (values ('Request ref ID', 'RR{k} AABB'),
+      ('Request type', 'Know 11'), ('Date submitted', '2020-01-02'), ('Subject type', ''), ('First name', ''), ('Last name', 'Mc Coy')) v(key, value)""",
 )
 def report_sections(t):
     lines = F.expr(
-        """filter(array('Instructions', 'Read me first', 'DDeettaaiilleedd RReeppoorrtt', 'stray line', concat('Profile Details [card: 12 ', c_custkey, ']'),
-          concat('Card_nbr ', c_nationkey), 'Address 1 Main St', c_mktsegment, 'CA', '1 / 2',
+        """filter(array('RReeqquueesstt ddeettaaiillss', concat('lost Request ref ID RR', c_custkey, ' AABB RReeqquueesstt ttyyppee Know 11'), 'date submitted 2020-01-02 Subject type',
+          'First name   Last name Mc   Coy', 'Instructions', 'Read me first', 'DDeettaaiilleedd RReeppoorrtt', 'stray line', concat('Profile Details [card: 12 ', c_custkey, ']'),
+          concat('Card_nbr ', c_nationkey), 'Address 1 Main St', c_mktsegment, ' CA ', 'AABB 1122', 'a   b', '1 / 2',
           case when c_custkey % 2 = 0 then 'Phone' else 'Phone none' end, 'PPrreeffeerreennccee  DDeettaaiillss', concat('os_cust_id:', c_custkey), 'pref: yes',
           'Customer Preference 1', concat('os_cust_id:', c_custkey + 1), case when c_custkey % 3 = 0 then 'odd words' else '' end),
           l -> l is not null)"""

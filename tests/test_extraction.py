@@ -225,3 +225,15 @@ def test_very_deep_nesting_costs_its_own_span_only(spark):
 def test_white_space_of_any_kind_is_stripped(spark):
     rows = spark.createDataFrame([("\t a b  \n",), ("\x1c",), (None,)], "t string")
     assert [r[0] for r in rows.select(strip(F.col("t"))).collect()] == ["a b", "", None]
+
+
+def test_values_of_a_report_come_back_as_printed(spark):
+    lines = ["Request details", "Request ref ID 11AABB Request type Know", "DDaattee ssuubbmmiitttteedd 2 / 2 2020 First name", "Last name  De   La", "Last name Roe",
+             "Detailed Report", "Profile Details [card: 1 2]", "Card_nbr 1133", "AABB 1122", "a   b", "Phone", "1 / 2", "Email x@y.z"]
+    docs = spark.createDataFrame([(1, n, line) for n, line in enumerate(lines)], "doc_id long, line_no int, line string")
+    found = {(r.section, r.key): (r.value, r.page) for r in extract_text.report_fields(docs).collect()}
+    assert found == {
+        ("Request details", "Request ref ID"): ("11AABB", 1), ("Request details", "Request type"): ("Know", 1),
+        ("Request details", "Date submitted"): ("2 / 2 2020", 1), ("Request details", "First name"): ("", 1), ("Request details", "Last name"): ("Roe", 1),
+        ("Profile Details", "Card_nbr"): ("1133 AABB 1122 a   b", 1), ("Profile Details", "Phone"): ("", 1), ("Profile Details", "Email"): ("x@y.z", 2),
+    }
