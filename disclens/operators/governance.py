@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from disclens.fixed_values import (
     ALLOWED_EMAIL_DOMAINS,
     ALLOWED_EMAIL_SUFFIXES,
     ALLOWED_EMAILS,
+    BARE_NUMBER_LINE,
     DENY_STOPLIST,
+    FILENAME_TOKEN,
     HARVEST_RULES,
     HEX_RUN,
     IDENTIFIER_KEY,
@@ -22,6 +26,7 @@ from disclens.fixed_values import (
     SKIP_KEY,
 )
 from disclens.functions.text import strip
+from disclens.operators.extract_json import json_spans, json_walk
 from disclens.operators.literals import literal_hits
 
 TOLERANCE = 0.01
@@ -81,18 +86,43 @@ def card_is_real(match: Column) -> Column:
     return F.length(digits).between(13, 19) & luhn_ok(digits)
 
 
-def without_hashes(line: Column) -> Column:
-    """The line with its long hex runs blanked, so no digit run inside a hash is seen.
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def placed_matches(line: Column, pattern: str) -> Column:
+    """The matches of a pattern without groups, in order, each with where it starts and ends: ``array<struct<start, end, text>>``.
 
-    A run whose edge digits go on past a separator is left: a number may start in it.
+    Matches are fenced in where they stand, and the fenced line is cut: its
+    pieces are by turns outside and inside, and their lengths give the places.
     """
-    return F.regexp_replace(
-        line, rf"(?<![0-9]{{1}}[ -])(?<![0-9a-fA-F]){HEX_RUN}(?![0-9a-fA-F])(?![ -][0-9])", "#"
+    free = F.translate(line, OPEN + CLOSE, "  ")
+    pieces = F.split(F.regexp_replace(free, f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    nothing = F.struct(
+        F.lit(0).alias("at"), F.lit(False).alias("inside"),
+        F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"),
     )
 
+    def walk(so_far: Column, piece: Column) -> Column:
+        after = so_far["at"] + F.length(piece)
+        match = F.struct(so_far["at"].alias("start"), after.alias("end"), piece.alias("text"))
+        return F.struct(
+            after.alias("at"), (~so_far["inside"]).alias("inside"),
+            F.when(so_far["inside"], F.concat(so_far["found"], F.array(match))).otherwise(so_far["found"]).alias("found"),
+        )
+
+    return F.aggregate(pieces, nothing, walk)["found"]
+
 
-def inside_remaining_hash(line: Column, match: Column) -> Column:
-    return F.exists(F.regexp_extract_all(line, F.lit(HEX_RUN), F.lit(0)), lambda run: F.contains(run, match))
+def outside_hashes(line: Column, pattern: str) -> Column:
+    """The matches that do not lie inside a long hex run: a digest holds digit runs that are no numbers.
+
+    What counts is the place of a match, so the same digits elsewhere on the
+    line are judged by themselves. Lines without such a run, nearly all, are
+    only searched.
+    """
+    runs = placed_matches(line, HEX_RUN)
+    free = F.filter(placed_matches(line, pattern), lambda m: ~F.exists(runs, lambda r: (r["start"] <= m["start"]) & (m["end"] <= r["end"])))
+    return F.when(line.rlike(HEX_RUN), F.transform(free, lambda m: m["text"])).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
 
 
 def suppressed(line: Column, above: Column) -> Column:
@@ -123,19 +153,17 @@ def pii_scan(docs: DataFrame, rules: list[str] | None = None) -> DataFrame:
     All rules run over a line in one pass of array expressions: one row per match
     leaves the stage, and nothing is shuffled.
     """
-    lines = text_lines(docs).where(~suppressed(F.col("line"), F.col("above"))).withColumn(
-        "_plain", without_hashes(F.col("line"))
-    )
+    lines = text_lines(docs).where(~suppressed(F.col("line"), F.col("above")))
     found = []
     for name, pattern in PII_RULES:
         if rules and name not in rules:
             continue
-        line = F.col("_plain") if name in HASH_GUARDED else F.col("line")
-        matches = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+        if name in HASH_GUARDED:
+            matches = outside_hashes(F.col("line"), pattern)
+        else:
+            matches = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
         if name in ACCEPT:
             matches = F.filter(matches, ACCEPT[name])
-        if name in HASH_GUARDED:
-            matches = F.filter(matches, lambda m: ~inside_remaining_hash(F.col("_plain"), m))
         found.append(_tagged(matches, "rule", name, "matched"))
     return lines.select("doc_id", "line_no", F.explode(F.flatten(F.array(*found))).alias("f")).select(
         "doc_id", "line_no", "f.rule", "f.matched"
@@ -201,13 +229,60 @@ def harvest_visits(txns: DataFrame) -> DataFrame:
     )
 
 
-def denylist_build(docs: DataFrame, pairs: DataFrame, txns: DataFrame) -> DataFrame:
-    """GOV-09: every value worth listing, once per bucket."""
+def without_page_numbers(text: Column) -> Column:
+    """The text without the bare numbers that a printed page leaves on lines of their own, which cut through what surrounds them."""
+    return F.regexp_replace(text, BARE_NUMBER_LINE, "")
+
+
+def embedded_pairs(docs: DataFrame) -> DataFrame:
+    """Every (key, value) of the JSON that stands inside the text of documents, read as it is and without page numbers."""
+    read = docs.select("doc_id", F.explode(F.array_distinct(F.array("text", without_page_numbers(F.col("text"))))).alias("text"))
+    spans = json_spans(read).where(F.col("json").isNotNull()).select("doc_id", "json")
+    return json_walk(spans.distinct())
+
+
+def harvest_identities(identities: DataFrame) -> DataFrame:
+    """GOV-09: the identifiers that were found, whole and in their comma-separated pieces."""
+    pieces = F.concat(F.array("value"), F.split("value", r",\s*", -1))
     return (
-        harvest_text(docs).unionByName(harvest_json(pairs)).unionByName(harvest_visits(txns)).distinct()
+        identities.select(F.explode(F.array_distinct(pieces)).alias("value"))
+        .where(worth_keeping(F.col("value")))
+        .select(F.lit("identifiers the adapter found").alias("bucket"), strip("value").alias("value"))
     )
 
 
+def harvest_references(requests: DataFrame, filenames: DataFrame) -> DataFrame:
+    """GOV-09: a report's own reference, and what looks like one in the name of its file."""
+    stem = F.regexp_replace(F.element_at(F.split("original_filename", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    tokens = filenames.select(F.explode(F.regexp_extract_all(stem, F.lit(FILENAME_TOKEN), F.lit(0))).alias("value"))
+    stated = requests.select(F.col("report_reference").alias("value"))
+    return (
+        stated.unionByName(tokens).where(F.coalesce(worth_keeping(F.col("value")), F.lit(False)))
+        .select(F.lit("report references").alias("bucket"), strip("value").alias("value"))
+    )
+
+
+def denylist_build(
+    docs: DataFrame,
+    pairs: DataFrame,
+    txns: DataFrame,
+    identities: DataFrame | None = None,
+    requests: DataFrame | None = None,
+    filenames: DataFrame | None = None,
+) -> DataFrame:
+    """GOV-09: every value worth listing, once per bucket.
+
+    ``pairs`` are fields of structured responses; the JSON inside the text is
+    read as well. Identifiers and references are listed where they are given.
+    """
+    found = [harvest_text(docs), harvest_json(pairs), harvest_json(embedded_pairs(docs)), harvest_visits(txns)]
+    if identities is not None:
+        found.append(harvest_identities(identities))
+    if requests is not None and filenames is not None:
+        found.append(harvest_references(requests, filenames))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def denylist_split(values: DataFrame, corpus: DataFrame) -> DataFrame:
     """GOV-10: whether each value already stands in a corpus; visit dates are kept all the same."""
     seen = denylist_hits(corpus, values.select(F.col("value").alias("needle"))).select("needle").distinct()

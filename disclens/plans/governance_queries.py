@@ -703,15 +703,25 @@ KEEP_SQL = r"""length(trim(value)) >= 6 and lower(trim(value)) not in ('unknown'
       'kroger', 'safeway', 'albertsons', 'hmart', 'h mart', 'true', 'false', 'null', 'none')
     and not (regexp_full_match(regexp_replace(trim(value), '[- ]', '', 'g'), '\d+') and length(regexp_replace(trim(value), '\D', '', 'g')) < 9)
     and len(list_distinct(string_split(regexp_replace(regexp_replace(trim(value), '^[0 -]+', ''), '[0 -]+$', ''), ''))) > 1"""
-BUILD_SQL = f"""select distinct bucket, trim(value) as value from (
+HELD_VALUE = "concat('Member ', identity_seq % 500, ', Town of ', identity_seq % 40)"
+FILE_NAME = "concat('REPORT', doc_id, ' for ', source, ' AB12.v1.pdf')"
+# JSON that a page number cuts through.
+WITH_JSON = """concat({text}, chr(10), 'Data: {{"emailAddress": "m', doc_id, '@x.org",', chr(10), '  17', chr(10), '"city": "Town ', doc_id % 50, '", "status": "gone"}}')"""
+BUILD_SQL = rf"""select distinct bucket, trim(value) as value from (
       select 'email addresses' as bucket, unnest(regexp_extract_all(text, {quoted(EMAIL)})) as value from letter
       union all select 'street addresses', unnest(regexp_extract_all(text, {quoted(STREET)})) from letter
       union all select 'identifying JSON fields', c_name from customer
       union all select 'identifying JSON fields', c_mktsegment from customer
-      union all select 'identifying JSON fields', '0000000000' from customer) where {KEEP_SQL}
+      union all select 'identifying JSON fields', '0000000000' from customer
+      union all select 'identifying JSON fields', unnest(['m' || doc_id || '@x.org', 'Town ' || doc_id % 50]) from documents
+      union all select 'identifiers the adapter found', unnest([{HELD_VALUE}, split_part({HELD_VALUE}, ', ', 1), split_part({HELD_VALUE}, ', ', 2)]) from identity
+      union all select 'report references', report_reference from request where report_reference is not null
+      union all select 'report references', unnest(regexp_extract_all(regexp_replace({FILE_NAME}, '\.[^.]*$', ''), '\b[A-Z0-9]{{6,}}\b')) from documents)
+      where {KEEP_SQL}
     union all select distinct 'dates and times of a visit', v from (select unnest(case when length(occurred_at) = 10 then [occurred_at]
       else [left(occurred_at, 10), left(occurred_at, 10) || ' ' || substr(occurred_at, 12, 5), left(occurred_at, 16)] end) as v from txn)"""
-LETTER_VIEW = {"letter": ((), f"select doc_id, {LETTER_TEXT} as text from documents")}
+BUILD_TEXT = WITH_JSON.format(text=LETTER_TEXT)
+LETTER_VIEW = {"letter": ((), f"select doc_id, {BUILD_TEXT} as text from documents")}
 
 
 def harvested(t):
@@ -719,12 +729,15 @@ def harvested(t):
 
     pairs = json_walk(t.spark.sql(PAIRS.replace("from customer", "from {customer}").replace('{"', '{{"').replace('here"}', 'here"}}'),
                                   customer=t.read("customer")))
-    return gov.denylist_build(letters(t), pairs, t.txn())
+    return gov.denylist_build(
+        t.read("documents").select("doc_id", F.expr(BUILD_TEXT).alias("text")), pairs, t.txn(),
+        t.identity().select(F.expr(HELD_VALUE).alias("value")), t.request(), t.read("documents").select(F.expr(FILE_NAME).alias("original_filename")),
+    )
 
 
 @query(
     "gov_09_denylist_build",
-    check(f"select bucket, value from ({BUILD_SQL})", "letter", "txn", **LETTER_VIEW),
+    check(f"select bucket, value from ({BUILD_SQL})", "letter", "txn", "identity", "request", **LETTER_VIEW),
 )
 def denylist_build(t):
     # The digit rules need lookaround, which the SQL engine of the check lacks.

@@ -39,9 +39,10 @@ def test_every_rule_against_brute_force(spark):
     """Python's own engine over random lines built from the pieces the rules look for."""
     rng = random.Random(3)
     pieces = ["ann@shop.net", "x@a.example.com", "(212) 200-1234", "+1 415 201 9999", "12 Old Mill Road", "CA 93721-1234", "94103-1234",
-              "4111111111111111", "4111 1111-1111 1111", "123-45-6789", "601234567890", "0123456789abcdef" * 3, "word", ".", "-", "9",
+              "4111111111111111", "4111 1111-1111 1111", "123-45-6789", "601234567890", "0123456789abcdef" * 3, "word", "ab4111111111111111cdef0123456789abcdef", "ab601234567890cdef0123456789abcdef", "\x01", "601234567890 ", ".", "-", "9",
               "123e4567-e89b-12d3-a456-426614174000"]
-    lines = ["".join(rng.choice(pieces) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    lines = ["".join(rng.choice(pieces) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 6))) for _ in range(900)]
+    lines.append("4111111111111111 and ab4111111111111111cdef0123456789abcdef 7")
 
     def luhn(digits):
         odd, even = [int(c) for c in digits[-1::-2]], [int(c) * 2 for c in digits[-2::-2]]
@@ -117,3 +118,19 @@ def test_skeletons(spark):
         gov.string_shape(F.lit("on 2020-01-02")).alias("words"),
     ).first()
     assert tuple(got) == ("a4 95,\na3!", "<key:len=11>", "loyaltyNo", "<num:-1e0>", "<date:2020-03>", "<str:len=13>")
+
+
+def test_sources_of_the_denylist(spark):
+    letters = docs(spark, 'See {"cardNumber": "600123",\n  12  \n"Status": "active-9", "city": "Elm Town"} and {"broken"')
+    empty = spark.createDataFrame([], "key string, value string")
+    visits = spark.createDataFrame([("2020-01-02T10:20:30",)], "occurred_at string")
+    held = spark.createDataFrame([("1 Main Street, Fresno, CA 93721",), ("short",), (None,)], "value string")
+    requests = spark.createDataFrame([("REF-2020-77",), (None,), ("no",)], "report_reference string")
+    names = spark.createDataFrame([("in/Report RPT00123.v2.pdf",), ("AB12.txt",)], "original_filename string")
+    found = {(r.bucket, r.value) for r in gov.denylist_build(letters, empty, visits, held, requests, names).collect()}
+    assert {f for f in found if f[0] not in ("street addresses", "dates and times of a visit")} == {
+        ("identifying JSON fields", "Elm Town"),
+        ("identifiers the adapter found", "1 Main Street, Fresno, CA 93721"), ("identifiers the adapter found", "1 Main Street"),
+        ("identifiers the adapter found", "Fresno"), ("identifiers the adapter found", "CA 93721"),
+        ("report references", "REF-2020-77"), ("report references", "RPT00123"),
+    }
