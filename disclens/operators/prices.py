@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from disclens.fixed_values import (
     DRIFT_MARGIN,
     MIN_OBSERVATIONS,
-    PRICE_LIMIT,
     REPEAT_SHARE,
     SAME_PRICE,
     TREND_SHARE,
@@ -416,9 +415,9 @@ def price_history(
     txns: DataFrame,
     identity: Identity,
     min_observations: int = MIN_OBSERVATIONS,
-    limit: int | None = PRICE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """PRC-12: the priced products of each request, priceable ones first, up to the limit."""
+    """PRC-12: the priced products of each request; with a limit (the reader's own is 200), so many of each, priceable ones first."""
     # Read by the histogram and by the trends: written once, with only the columns those need.
     series = stage(
         series_points(price_points(items, txns), identity.heads).select(

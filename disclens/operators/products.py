@@ -12,7 +12,7 @@ from disclens.functions.amounts import product_key, purchase_amount
 from disclens.functions.dates import day_number, day_text
 from disclens.functions.labels import clean_label, handle_for, is_non_product, tier
 from disclens.functions.text import strip
-from disclens.operators.scale import attach, group_size, top_n
+from disclens.operators.scale import attach, top_n
 from disclens.sources.staging import stage
 
 
@@ -156,18 +156,31 @@ def product_dim(items: DataFrame, txns: DataFrame) -> DataFrame:
     return identify(items, txns).dim
 
 
+def repeated(products: DataFrame, name: str, flag: str) -> DataFrame:
+    """``flag``: whether a name stands on more than one product of a request.
+
+    Names are counted map-side and only those that repeat are written, so the
+    products meet a plain table: small ones are broadcast by their size, and
+    beyond that both sides are shuffled by request and name, which adaptive
+    execution can split. No request is brought together.
+    """
+    twice = products.groupBy("request_id", name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id", name, F.lit(True).alias(flag))
+    return products.join(stage(twice), ["request_id", name], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def restore_collisions(products: DataFrame) -> DataFrame:
-    """PRD-10: where a label stands on more than one product, all of them show their handle."""
-    counted = group_size(products, ["request_id", "label"], "_alike")
-    return counted.withColumn(
-        "description", F.when(F.col("_alike") > 1, F.col("match_name")).otherwise(F.col("label"))
+    """PRD-10: where a label stands on more than one product, all of them show their handle.
+
+    ``products`` is read twice and should be a stored table.
+    """
+    return repeated(products, "label", "_alike").withColumn(
+        "description", F.when(F.col("_alike"), F.col("match_name")).otherwise(F.col("label"))
     ).drop("_alike")
 
 
 def shares_name(products: DataFrame) -> DataFrame:
     """PRD-10: whether the shown name still stands on more than one product."""
-    counted = group_size(products, ["request_id", "description"], "_same")
-    return counted.withColumn("shares_name", F.col("_same") > 1).drop("_same")
+    return repeated(products, "description", "shares_name")
 
 
 def coverage_end(dim: DataFrame) -> DataFrame:
@@ -180,11 +193,12 @@ def coverage_end(dim: DataFrame) -> DataFrame:
 
 def index_rows(dim: DataFrame) -> DataFrame:
     """PRD-07: the listed products with tier, shown name and whether they stopped."""
-    listed = attach(dim, coverage_end(dim), ["request_id"], "inner").where(~F.col("refused"))
+    # Stored on both sides of the join by request: a hot request is split, and what follows is dealt out by request and name.
+    listed = attach(dim, stage(coverage_end(dim)), ["request_id"], "inner").where(~F.col("refused"))
     rows = listed.withColumn("tier", tier(F.col("purchases"))).withColumn(
         "stopped", (F.col("purchases") >= 2) & (F.col("last_seen") < F.col("stale_before"))
     )
-    return shares_name(stage(restore_collisions(rows))).select(
+    return shares_name(stage(restore_collisions(stage(rows)))).select(
         "request_id", "key", "upc", "description", "match_name", "purchases", "tier",
         "first_seen", "last_seen", "stopped", "shares_name",
     )

@@ -127,3 +127,27 @@ def test_top_n_of_a_hot_group_is_exact(spark):
     expected = [r.v for r in df.orderBy(F.col("v").desc()).limit(1500).collect()]
     assert [r.v for r in got] == expected
     assert [r["rank"] for r in got] == list(range(1, 1501))
+
+
+def test_one_request_of_most_rows_is_dealt_out_by_name(spark):
+    """90 % of all products are one request's; names that repeat are found whatever the plan."""
+    names = [(1, f"k{n}", f"label {n % 700}", n) for n in range(900)] + [(r, f"k{r}", "label 1", 1) for r in range(2, 102)]
+    rows = [(r, k, None, label, f"{label} of {k}", n + 1, "2020-01-01", "2020-02-01", False) for r, k, label, n in names]
+    dim = spark.createDataFrame(
+        rows, "request_id long, key string, upc string, label string, match_name string, purchases long, first_seen string, last_seen string, refused boolean"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = ops.index_rows(dim)
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        found = index.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(request_id" in plan and "description" in plan.split("hashpartitioning(request_id", 1)[1][:60]
+    assert not any(line.count("hashpartitioning(request_id") and "description" not in line for line in plan.splitlines())
+    twice = {f"label {n}" for n in range(200)}
+    for r in found:
+        label = f"label {int(r.key[1:]) % 700}" if r.request_id == 1 else "label 1"
+        alike = r.request_id == 1 and label in twice
+        assert r.description == (f"{label} of {r.key}" if alike else label) and not r.shares_name
