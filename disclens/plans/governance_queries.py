@@ -270,14 +270,18 @@ LANDED_KIND = """case doc_id % 9 when 0 then 'pdf' when 1 then 'png' when 2 then
 LANDED_NAME = "concat(doc_id, case doc_id % 4 when 0 then '.txt' when 1 then '.xls' when 2 then '' else '.JSON' end)"
 
 
+# The smallest zip that lists a workbook; what follows is its comment, which a zip reader takes up to 65,535 bytes.
+LISTED_WORKBOOK = "504B0304" + "504B0102" + "00" * 24 + "0F00" + "00" * 16 + b"xl/workbook.xml".hex() + "504B0506" + "00" * 12 + "04000000" + "0000"
+
+
 def landed(t):
     body = F.encode("text", "UTF-8")
     opening = {
         "pdf": F.unhex(F.lit("255044462D")),
         "png": F.unhex(F.lit("89504E470D0A1A0A")),
-        "zip": F.unhex(F.lit("504B0304")),
+        "zip": F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit("xl/workbook.xml"), "UTF-8")),
         "sheet": F.encode(F.lit('<?xml version="1.0"?><x xmlns="urn:schemas-microsoft-com:office:spreadsheet">'), "UTF-8"),
-        "xlsx": F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit("xl/workbook.xml"), "UTF-8")),
+        "xlsx": F.unhex(F.lit(LISTED_WORKBOOK)),
     }
     content = F.when(F.col("made") == "empty", F.encode(F.lit(""), "UTF-8"))
     for name, prefix in opening.items():
@@ -294,12 +298,13 @@ def landed(t):
         when 'spreadsheetml' then 'application/vnd.ms-excel'
         when 'xlsx' then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' end as media_type, made = 'empty' as refused
       from (select doc_id, made, case made when 'pdf' then encode('%PDF-') when 'png' then unhex('89504E470D0A1A0A')
-            when 'zip' then unhex('504B0304') when 'xlsx' then unhex('504B0304') || encode('xl/workbook.xml')
+            when 'zip' then unhex('504B0304') || encode('xl/workbook.xml') when 'xlsx' then unhex('{LISTED_WORKBOOK}')
             when 'sheet' then encode('<?xml version="1.0"?><x xmlns="urn:schemas-microsoft-com:office:spreadsheet">')
             else encode('') end || case when made = 'empty' then encode('') else encode(text) end as content,
-          case made when 'pdf' then 'pdf' when 'png' then 'image/png' when 'sheet' then 'spreadsheetml' when 'xlsx' then 'xlsx'
+          case when made = 'pdf' then 'pdf' when made = 'png' then 'image/png' when made = 'sheet' then 'spreadsheetml'
+            when made = 'xlsx' and octet_length(encode(text)) <= 65535 then 'xlsx'
             else case when doc_id % 4 in (0, 3) then 'text' when doc_id % 4 = 1 then 'binary_workbook'
-              when made = 'zip' then 'archive' else 'unsupported' end end as kind
+              when made in ('zip', 'xlsx') then 'archive' else 'unsupported' end end as kind
         from (select *, {LANDED_KIND} as made from documents))""",
 )
 def manifest(t):

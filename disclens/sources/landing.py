@@ -35,6 +35,22 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: A zip ends with a record of at most 22 + 65,535 bytes that says where the list of its names begins.
+ZIP_ENDING = 65_557
+ZIP_LIST_AT = r"(?s)^.*PK\x05\x06.{12}(.{4})"
+ZIP_NAME = rf"(?s)PK\x01\x02.{{24}}\x{len(WORKBOOK_PART):02x}\x00.{{16}}\Q{WORKBOOK_PART}\E"
+
+
+def holds_workbook(content: Column) -> Column:
+    """Whether a zip lists a workbook among its names; the name elsewhere in its bytes does not count."""
+    size = F.octet_length(content)
+    ending = F.decode(F.substring(content, F.greatest(size - ZIP_ENDING, F.lit(0)) + 1, F.lit(ZIP_ENDING)), "ISO-8859-1")
+    at = F.hex(F.encode(F.regexp_extract(ending, ZIP_LIST_AT, 1), "ISO-8859-1"))
+    number = F.conv(F.concat(*[F.substring(at, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    names = F.substring(content, F.least(number, size.cast("bigint")).cast("int") + 1, size)
+    return F.coalesce((F.length(at) == 8) & F.decode(names, "ISO-8859-1").rlike(ZIP_NAME), F.lit(False))
+
+
 def file_kind(content: Column, filename: Column) -> Column:
     """By content before suffix, and as an archive only when nothing else fits."""
     head = F.hex(F.substring(content, 1, 16))
@@ -51,7 +67,7 @@ def file_kind(content: Column, filename: Column) -> Column:
         F.when((suffix == "pdf") | F.startswith(head, F.lit(PDF_MAGIC)), "pdf")
         .when(F.coalesce(sheet, F.lit(False)), "spreadsheetml")
         .when(image.isNotNull(), image)
-        .when(is_zip & F.contains(content, F.encode(F.lit(WORKBOOK_PART), "UTF-8")), "xlsx")
+        .when(F.when(is_zip, holds_workbook(content)).otherwise(False), "xlsx")
         .when(suffix.isin(TEXT_SUFFIXES), "text")
         .when(suffix.isin("xls", "xlsx"), "binary_workbook")
         .when(is_zip, "archive")

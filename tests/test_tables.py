@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import pytest
 from helpers import items, money, txns
 from pyspark.sql import functions as F
@@ -76,10 +79,19 @@ def test_gauges_need_a_dash(spark):
     assert [r.g for r in df.select(dis.gauge_position(F.col("v"), F.col("s")).alias("g")).collect()] == [50, 100, None, None]
 
 
+def zipped(*names):
+    """A real zip of the given names; one of bytes is a stored zip of that content under it."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as package:
+        for name in names:
+            package.writestr("stored" if isinstance(name, bytes) else name, name if isinstance(name, bytes) else "x" * 100)
+    return bytearray(held.getvalue())
+
+
 def test_files_are_known_by_content(spark, rows):
     files = spark.createDataFrame(
         [
-            ("a.txt", bytearray(b"%PDF-1.7")), ("b", bytearray(b"\x89PNG\r\n\x1a\nxx")), ("c.xls", bytearray(b"PK\x03\x04..xl/workbook.xml..")),
+            ("a.txt", bytearray(b"%PDF-1.7")), ("b", bytearray(b"\x89PNG\r\n\x1a\nxx")), ("c.xls", zipped("xl/workbook.xml", "a.xml")), ("h.bin", zipped("b/xl/workbook.xml")), ("i.bin", zipped("c", b"xl/workbook.xml" * 9)), ("j.bin", bytearray(b"PK\x03\x04xl/workbook.xml")),
             ("d.docx", bytearray(b"PK\x03\x04..word/..")), ("e.md", bytearray(b"")), ("f.bin", bytearray(b"\x00\x01")),
             ("g.xls", bytearray(b'<?xml version="1.0"?><W xmlns="urn:schemas-microsoft-com:office:spreadsheet"/>')),
         ],
@@ -89,6 +101,7 @@ def test_files_are_known_by_content(spark, rows):
     assert rows(got, "original_filename", "kind", "refused") == [
         ("a.txt", "pdf", False), ("b", "image/png", False), ("c.xls", "xlsx", False), ("d.docx", "archive", False),
         ("e.md", "text", True), ("f.bin", "unsupported", False), ("g.xls", "spreadsheetml", False),
+        ("h.bin", "archive", False), ("i.bin", "archive", False), ("j.bin", "archive", False),
     ]
 
 
