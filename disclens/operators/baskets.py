@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from disclens.fixed_values import FOOTING_TOLERANCE
 from disclens.functions.amounts import is_fractional, paid_amount, purchase_amount, saved_amount
 from disclens.operators.scale import attach, top_n
+from disclens.sources.staging import stage
 
 
 def line_amounts(items: DataFrame) -> DataFrame:
@@ -85,10 +86,17 @@ def basket_search(txns: DataFrame, items: DataFrame, text: str) -> DataFrame:
 
 
 def timeline(txns: DataFrame, items: DataFrame, query: str | None = None, **bounds) -> DataFrame:
-    """AGG-03: settled baskets that pass the filters, with how many passed per request."""
+    """AGG-03: settled baskets that pass the filters, with how many passed per request.
+
+    The baskets that pass are written once; only their lines are totalled, the
+    others leave before any shuffle by basket where those that pass are few.
+    """
     kept = timeline_filter(txns, **bounds)
     if query:
         kept = basket_search(kept, items, query)
+    if query or any(bounds.values()):
+        kept = stage(kept)
+        items = items.join(kept.select("txn_id"), "txn_id", "left_semi")
     settled = settle(basket_totals(kept, items))
     counted = kept.groupBy("request_id").agg(F.count(F.lit(1)).alias("filtered_count"))
     return attach(settled, counted, ["request_id"], "inner")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from disclens.sources.canonical import CTES, Canonical, with_tables
+from disclens.sources.staging import stage
 
 HEADER_NAMES = ["TXN_DTE", "TXN_ID", "STORE_ID", "UPC_ID", "UPC_DSC", "QTY", "NET"]
 
@@ -177,14 +178,24 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(f"explode(concat(array({', '.join(body)}), {opening})) as c").select("c.*")
 
 
+# Read several times by one query: written once for it.
+SHARED = ("printed_line", "visit_flag")
+
+
 def frame(t: Canonical, name: str) -> DataFrame:
     """The input as a DataFrame, canonical tables included."""
     if name not in INPUTS:
         return getattr(t, name)()
     if name == "cells":
         return _cells(frame(t, "sheet_row"))
-    needs, text = INPUTS[name]
-    return t.spark.sql(text, **{n: frame(t, n) for n in needs})
+    held = t.__dict__.setdefault("_shared", {})
+    if name not in held:
+        needs, text = INPUTS[name]
+        found = t.spark.sql(text, **{n: frame(t, n) for n in needs})
+        if name not in SHARED:
+            return found
+        held[name] = stage(found)
+    return held[name]
 
 
 def _plain(text: str, needs: tuple[str, ...]) -> str:

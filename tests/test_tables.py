@@ -9,6 +9,7 @@ from disclens.operators import disclosure as dis
 from disclens.operators.baskets import basket_totals, month_index, request_stats, settle, specific_pieces
 from disclens.operators.products import index_totals, product_dim
 from disclens.sources import landing, sinks
+from disclens.streaming import runs
 from disclens.streaming.jobs import stream_dedup, stream_months
 
 
@@ -198,3 +199,32 @@ def test_a_prologue_that_cuts_a_character_is_read(spark):
     content = (opening + "x" * (4095 - len(opening)) + "é").encode() * 2
     files = spark.createDataFrame([("a.xls", bytearray(content))], "original_filename string, content binary")
     assert landing.doc_manifest(files).first().kind == "spreadsheetml"
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_batches(spark, tmp_path, inbox, rows):
+    """24 batches, each with a document of its own and one that came before."""
+    path, land = inbox
+    store, schema = str(tmp_path / "store"), "landed_at timestamp, sha256 string"
+    for n in range(24):
+        own = [(f"2020-01-{n + 1:02}", f"{n:02x}rest{n}"), (f"2020-02-{n + 1:02}", "00rest0")]
+        land(spark.createDataFrame(own, "at string, sha256 string").select(F.to_timestamp("at").alias("landed_at"), "sha256"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    stored = stream_dedup(stream, store)
+    assert rows(stored, "sha256") == sorted((f"{n:02x}rest{n}",) for n in range(24))
+    assert len(runs.live_runs(spark, store)) <= 6
+    one = runs.read_runs(spark, store).where("prefix = 'h05'")
+    assert len({f for f in one.inputFiles() if "prefix=h05" in f}) == 1
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in scan
+    assert runs.drop_merged(spark, store) > 12
+    assert runs.read_runs(spark, store).count() == 24
+
+
+def test_a_batch_that_is_run_again_stores_nothing_twice(spark, tmp_path):
+    store, given = str(tmp_path / "store"), spark.createDataFrame([(1,)], "n int")
+    name = runs.run_name("a", 3)
+    assert not runs.is_committed(spark, store, name) and runs.read_runs(spark, store) is None
+    given.write.parquet(f"{store}/rows/run={name}")  # broken off before it was committed
+    assert runs.read_runs(spark, store) is None
+    runs.write_run(given, store, name)
+    assert runs.is_committed(spark, store, name) and runs.read_runs(spark, store).count() == 1
