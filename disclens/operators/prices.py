@@ -1,17 +1,17 @@
 """Price history: what each product cost, where its amounts can be read as a price.
 
 Points are reduced to a histogram of distinct unit amounts per product before
-anything is gathered, so what meets in one place is the number of *different
-prices* of a product and never its number of purchases. A product with more
-different prices than ``GATHER_LIMIT`` takes the row path, which holds one
-amount at a time; both paths give the same figures.
+anything is gathered, so what meets in one place is *different prices* and never
+purchases. The sorted prices of a product come in chunks of bounded size; the
+clusters, which are found from the lowest price upwards, go from chunk to chunk
+by the anchor that is open at its end, and every other figure is worked out per
+chunk and brought together per product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,9 @@ from disclens.operators.products import Identity, dated_purchases, restore_colli
 from disclens.operators.scale import top_n
 from disclens.sources.staging import stage
 
-GATHER_LIMIT = 4096
+CHUNK_PRICES = 4096
+#: Prices are counted by cells of this ratio, of which a product has a few thousand at most, to cut its chunks.
+CELL_RATIO = 1.005
 SERIES = ["request_id", "key"]
 
 
@@ -92,8 +94,12 @@ def _same_price(amount: Column, anchor: Column) -> Column:
 CLUSTER_TYPE = "array<struct<anchor:decimal(18,4),n:bigint,total:decimal(38,4)>>"
 
 
-def cluster_fold(prices: Column) -> Column:
-    """PRC-05 over an ascending array of (amount, n): only the last cluster can take an amount."""
+def cluster_fold(prices: Column, anchor: Column | None = None) -> Column:
+    """PRC-05 over an ascending array of (amount, n): only the last cluster can take an amount.
+
+    ``anchor`` is that of a cluster still open from lower prices; it comes first, with what it takes here.
+    """
+    open_ = F.array(F.struct(anchor.alias("anchor"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("decimal(38,4)").alias("total"))) if anchor is not None else F.array()
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -110,77 +116,20 @@ def cluster_fold(prices: Column) -> Column:
             fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
         ).otherwise(F.concat(acc, F.array(alone))).cast(CLUSTER_TYPE)
 
-    return F.aggregate(prices, F.array().cast(CLUSTER_TYPE), step)
-
-
-def _weighted_median(prices: Column, total: Column) -> Column:
-    """The middle purchase's amount, or the mean of the two middle ones."""
-    low, high = (total - 1) / F.lit(2), total / F.lit(2)
-
-    def at(position: Column) -> Column:
-        where = F.floor(position)
-        found = F.aggregate(
-            prices,
-            F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("double").alias("value")),
-            lambda acc, x: F.struct(
-                (acc["before"] + x["n"]).alias("before"),
-                F.when(
-                    acc["value"].isNull() & (acc["before"] + x["n"] > where), x["amount"].cast("double")
-                ).otherwise(acc["value"]).alias("value"),
-            ),
-        )
-        return found["value"]
-
-    return (at(low) + at(high)) / F.lit(2.0)
-
-
-SUMMARY = (
-    "request_id bigint, key string, points bigint, low decimal(18,4), high decimal(18,4),"
-    f" median double, clusters {CLUSTER_TYPE}"
-)
-
+    return F.aggregate(prices, open_.cast(CLUSTER_TYPE), step)
 
-def _cluster_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Clusters of products whose rows arrive in (product, amount) order, one row held at a time.
 
-    ``seq`` counts the purchases before a row and ``points`` those of the whole
-    product, so the middle amounts are recognised as they pass.
-    """
-    current = None
-
-    def close(state):
-        return pd.DataFrame([{**state["out"], "median": sum(state["middle"]) / 2.0}])
-
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            product = (row.request_id, row.key)
-            if current is None or current["product"] != product:
-                if current is not None:
-                    yield close(current)
-                current = {
-                    "product": product,
-                    "middle": [],
-                    "out": {
-                        "request_id": row.request_id, "key": row.key, "points": row.points,
-                        "low": row.unit_amount, "clusters": [],
-                    },
-                }
-            out = current["out"]
-            for middle in ((row.points - 1) // 2, row.points // 2):
-                if row.seq <= middle < row.seq + row.n:
-                    current["middle"].append(float(row.unit_amount))
-            clusters = out["clusters"]
-            amount, anchor = float(row.unit_amount), float(clusters[-1]["anchor"]) if clusters else 0.0
-            if clusters and abs(amount - anchor) / anchor <= SAME_PRICE:
-                clusters[-1]["n"] += row.n
-                clusters[-1]["total"] += row.unit_amount * row.n
-            else:
-                clusters.append(
-                    {"anchor": row.unit_amount, "n": row.n, "total": row.unit_amount * row.n}
-                )
-            out["high"] = row.unit_amount
-    if current is not None:
-        yield close(current)
+def _amount_at(prices: Column, place: Column) -> Column:
+    """The amount of the purchase at a place from 0 in ascending (amount, n), or NULL if it is not among them."""
+    found = F.aggregate(
+        prices,
+        F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("double").alias("value")),
+        lambda acc, x: F.struct(
+            (acc["before"] + x["n"]).alias("before"),
+            F.when((acc["before"] <= place) & (place < acc["before"] + x["n"]), x["amount"].cast("double")).otherwise(acc["value"]).alias("value"),
+        ),
+    )
+    return found["value"]
 
 
 def _base_columns(summary: DataFrame) -> DataFrame:
@@ -231,108 +180,102 @@ def multiple_of(amount: Column, base: Column, gap: Column) -> Column:
     return F.when((b > 0) & ~on_the_way, nearest)
 
 
-def _gathered(histogram: DataFrame) -> DataFrame:
-    """Products whose distinct prices fit one array: everything follows inside it."""
-    price = F.struct(
-        F.col("unit_amount").alias("amount"), "n", "first", "last", "shelved"
-    )
-    arrays = (
-        histogram.groupBy(*SERIES)
-        .agg(F.array_sort(F.collect_list(price)).alias("prices"), F.first("points").alias("points"))
-    )
-    base = _base_columns(
-        arrays.withColumns(
-            {
-                "low": F.element_at("prices", 1)["amount"],
-                "high": F.element_at("prices", -1)["amount"],
-                "median": _weighted_median(F.col("prices"), F.col("points")),
-                "clusters": cluster_fold(F.col("prices")),
-            }
-        )
-    )
-    unit = F.try_element_at(
-        F.filter("prices", lambda p: _divides(p["amount"], F.col("common"))), F.lit(1)
-    )["amount"]
-    settled = base.withColumn(
-        "base", F.coalesce(_to_the_cent(unit), F.col("common"))
-    ).withColumn(
-        "gap",
-        F.try_element_at(F.filter("prices", lambda p: _above_drift(p["amount"], F.col("base"))), F.lit(1))["amount"],
-    )
-    is_multiple = lambda p: multiple_of(p["amount"], F.col("base"), F.col("gap")).isNotNull()
-    singles = F.filter("prices", lambda p: ~is_multiple(p))
-    return settled.select(
-        *SERIES, "points", "low", "high", "median", "clusters", "biggest", "base", "gap",
-        F.aggregate(
-            F.filter("prices", is_multiple), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]
-        ).alias("multiples"),
-        F.array_min(F.transform("prices", lambda p: p["first"])).alias("first_point"),
-        F.array_max(F.transform("prices", lambda p: p["last"])).alias("last_point"),
-        F.array_min(F.transform(singles, lambda p: p["first"])).alias("first_single"),
-        F.array_max(F.transform(singles, lambda p: p["last"])).alias("last_single"),
-        F.forall("prices", lambda p: p["shelved"]).alias("shelf_disclosed"),
+def _chunked(histogram: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The histogram with each price's ``chunk``, ascending within a product, and the last number of any chunk."""
+    wide = histogram.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("prices")).where(F.col("prices") > most)
+    cell = F.floor(F.log(F.col("unit_amount").cast("double")) / F.log(F.lit(CELL_RATIO)))
+    celled = histogram.withColumn("cell", cell)
+    cells = celled.join(wide.select(*SERIES), SERIES, "left_semi").groupBy(*SERIES, "cell").agg(F.count(F.lit(1)).alias("prices"))
+    upwards = Window.partitionBy(*SERIES).orderBy("cell")
+    before = F.coalesce(F.sum("prices").over(upwards.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = cells.withColumn("part", F.floor(before / most))
+    chunk = F.dense_rank().over(Window.partitionBy(*SERIES).orderBy("part")) - 1
+    numbered = stage(parts.withColumn("chunk", chunk).select(*SERIES, "cell", "chunk"))
+    last = numbered.agg(F.max("chunk")).first()[0]
+    if last is None:
+        return histogram.withColumn("chunk", F.lit(0)), 0
+    placed = celled.join(numbered, [*SERIES, "cell"], "left").drop("cell")
+    return placed.withColumn("chunk", F.coalesce("chunk", F.lit(0))), last
+
+
+def _across(chunks: DataFrame, last: int, **figures: Column) -> DataFrame:
+    """Figures of chunks as those of their product, beside each chunk; they are that where every product is one chunk."""
+    if not last:
+        return chunks
+    chunks = stage(chunks)
+    totals = stage(chunks.groupBy(*SERIES).agg(*[figure.alias(name) for name, figure in figures.items()]))
+    return chunks.drop(*figures).join(totals, SERIES)
+
+
+def _clusters(chunks: DataFrame, last: int) -> DataFrame:
+    """PRC-05: chunks with the clusters of their product, each chunk taken up where the one below it ended."""
+    if not last:
+        return chunks.withColumn("clusters", cluster_fold(F.col("prices")))
+    chunks = stage(chunks)
+    found, ends = [], None
+    for number in range(last + 1):
+        own = chunks.where(F.col("chunk") == number)
+        fold = cluster_fold(F.col("prices")) if ends is None else cluster_fold(F.col("prices"), F.col("anchor"))
+        folded = stage((own if ends is None else own.join(ends, SERIES)).select(*SERIES, fold.alias("clusters")))
+        ends = folded.select(*SERIES, F.element_at("clusters", -1)["anchor"].alias("anchor"))
+        found.append(folded)
+    parts = reduce(DataFrame.unionByName, found).select(*SERIES, F.explode("clusters").alias("c"))
+    whole = parts.groupBy(*SERIES, F.col("c.anchor").alias("anchor")).agg(
+        F.sum("c.n").alias("n"), F.sum("c.total").cast("decimal(38,4)").alias("total")
     )
+    # A cluster spans three per cent, so a product has some hundreds.
+    listed = F.array_sort(F.collect_list(F.struct("anchor", "n", "total"))).cast(CLUSTER_TYPE)
+    return chunks.join(stage(whole.groupBy(*SERIES).agg(listed.alias("clusters"))), SERIES)
 
 
-def _rowwise(wide: DataFrame) -> DataFrame:
-    """The same figures for products with too many distinct prices to gather."""
-    before = Window.partitionBy(*SERIES).orderBy("unit_amount").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = (
-        wide.withColumn("seq", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
-        .select(*SERIES, "unit_amount", "n", "seq", "points")
-        .repartition(*[F.col(c) for c in SERIES])
-        .sortWithinPartitions(*SERIES, "unit_amount")
-    )
-    base = _base_columns(ordered.mapInPandas(_cluster_stream, SUMMARY))
-    unit = (
-        wide.join(base.select(*SERIES, "common"), SERIES)
-        .where(_divides(F.col("unit_amount"), F.col("common")))
-        .groupBy(*SERIES)
-        .agg(F.min("unit_amount").alias("unit"))
-    )
-    based = base.join(unit, SERIES, "left").withColumn(
-        "base", F.coalesce(_to_the_cent(F.col("unit")), F.col("common"))
-    )
-    gap = (
-        wide.join(based.select(*SERIES, "base"), SERIES)
-        .groupBy(*SERIES)
-        .agg(F.min(F.when(_above_drift(F.col("unit_amount"), F.col("base")), F.col("unit_amount"))).alias("gap"))
-    )
-    settled = based.join(gap, SERIES)
-    single = ~F.col("_multiple")
-    figures = (
-        wide.join(settled.select(*SERIES, "base", "gap"), SERIES)
-        .withColumn(
-            "_multiple", multiple_of(F.col("unit_amount"), F.col("base"), F.col("gap")).isNotNull()
-        )
-        .groupBy(*SERIES)
-        .agg(
-            F.sum(F.when(F.col("_multiple"), F.col("n")).otherwise(0)).alias("multiples"),
-            F.min("first").alias("first_point"),
-            F.max("last").alias("last_point"),
-            F.min(F.when(single, F.col("first"))).alias("first_single"),
-            F.max(F.when(single, F.col("last"))).alias("last_single"),
-            F.bool_and("shelved").alias("shelf_disclosed"),
-        )
-    )
-    return settled.join(figures, SERIES).select(
-        *SERIES, "points", "low", "high", "median", "clusters", "biggest", "base", "gap", "multiples",
-        "first_point", "last_point", "first_single", "last_single", "shelf_disclosed",
-    )
-
+def product_prices(series: DataFrame, chunk_prices: int = CHUNK_PRICES) -> DataFrame:
+    """PRC-05..08, 11: clusters, base price, multiples and end points, one row per product.
 
-def product_prices(series: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
-    """PRC-05..08, 11: clusters, base price, multiples and end points, one row per product."""
-    own = Window.partitionBy(*SERIES)
-    histogram = stage(
-        amount_histogram(series)
-        .withColumn("prices", F.count(F.lit(1)).over(own))
-        .withColumn("points", F.sum("n").over(own))
+    A chunk holds about ``chunk_prices`` different prices, so no task gathers a
+    product; each figure is that of the chunks brought together.
+    """
+    histogram, last = _chunked(stage(amount_histogram(series)), chunk_prices)
+    price = F.struct(F.col("unit_amount").alias("amount"), "n", "first", "last", "shelved")
+    chunks = histogram.groupBy(*SERIES, "chunk").agg(F.array_sort(F.collect_list(price)).alias("prices"), F.sum("n").alias("points"))
+    below = Window.partitionBy(*SERIES).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumns(
+        {
+            "below": F.coalesce(F.sum("points").over(below), F.lit(0)) if last else F.lit(0).cast("bigint"),
+            "low": F.element_at("prices", 1)["amount"],
+            "high": F.element_at("prices", -1)["amount"],
+        }
+    )
+    chunks = _across(chunks, last, points=F.sum("points"), low=F.min("low"), high=F.max("high"))
+    middle = lambda place: _amount_at(F.col("prices"), F.floor(place) - F.col("below"))
+    chunks = chunks.withColumns({"lower": middle((F.col("points") - 1) / F.lit(2)), "upper": middle(F.col("points") / F.lit(2))})
+    chunks = _across(chunks, last, lower=F.max("lower"), upper=F.max("upper"))
+    chunks = _base_columns(_clusters(chunks.withColumn("median", (F.col("lower") + F.col("upper")) / F.lit(2.0)), last))
+    first_where = lambda test: F.try_element_at(F.filter("prices", lambda p: test(p["amount"])), F.lit(1))["amount"]
+    chunks = _across(chunks.withColumn("unit", first_where(lambda a: _divides(a, F.col("common")))), last, unit=F.min("unit"))
+    chunks = chunks.withColumn("base", F.coalesce(_to_the_cent(F.col("unit")), F.col("common")))
+    chunks = _across(chunks.withColumn("gap", first_where(lambda a: _above_drift(a, F.col("base")))), last, gap=F.min("gap"))
+    is_multiple = lambda p: multiple_of(p["amount"], F.col("base"), F.col("gap")).isNotNull()
+    singles = F.filter("prices", lambda p: ~is_multiple(p))
+    chunks = chunks.withColumns(
+        {
+            "multiples": F.aggregate(F.filter("prices", is_multiple), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]),
+            "first_point": F.array_min(F.transform("prices", lambda p: p["first"])),
+            "last_point": F.array_max(F.transform("prices", lambda p: p["last"])),
+            "first_single": F.array_min(F.transform(singles, lambda p: p["first"])),
+            "last_single": F.array_max(F.transform(singles, lambda p: p["last"])),
+            "shelf_disclosed": F.forall("prices", lambda p: p["shelved"]),
+        }
     )
-    wide = histogram.where(F.col("prices") > gather_limit)
-    gathered = _gathered(histogram.where(F.col("prices") <= gather_limit))
-    # Answered from the staged file statistics where no product is that wide.
-    return gathered if wide.isEmpty() else gathered.unionByName(_rowwise(wide))
+    whole = ["points", "low", "high", "median", "clusters", "biggest", "base", "gap"]
+    ends = {
+        "multiples": F.sum("multiples"), "first_point": F.min("first_point"), "last_point": F.max("last_point"),
+        "first_single": F.min("first_single"), "last_single": F.max("last_single"), "shelf_disclosed": F.bool_and("shelf_disclosed"),
+    }
+    if last:
+        stored = stage(chunks.drop("prices"))
+        ended = stored.groupBy(*SERIES).agg(*[figure.alias(name) for name, figure in ends.items()])
+        chunks = stored.where("chunk = 0").select(*SERIES, *whole).join(stage(ended), SERIES)
+    return chunks.select(*SERIES, *whole, *ends)
 
 
 # -- direction and shape ------------------------------------------------------
@@ -373,9 +316,9 @@ def trends(series: DataFrame) -> DataFrame:
     )
 
 
-def price_shape(series: DataFrame, gather_limit: int = GATHER_LIMIT) -> DataFrame:
+def price_shape(series: DataFrame, chunk_prices: int = CHUNK_PRICES) -> DataFrame:
     """PRC-10: unit, multiple or weight, with the figures the verdict rests on."""
-    priced = product_prices(series, gather_limit)
+    priced = product_prices(series, chunk_prices)
     scattered = (
         (F.col("biggest").cast("double") / F.col("points").cast("double") <= F.lit(REPEAT_SHARE))
         & (F.col("points") >= 4)

@@ -83,14 +83,33 @@ def scored(spark):
     return labelled, series, found
 
 
-def test_the_row_path_equals_the_gathered_one(scored):
+FIGURES = ("points", "low", "high", "median", "biggest", "base", "gap", "multiples", "shape", "clusters",
+           "first_point", "last_point", "first_single", "last_single", "shelf_disclosed")
+
+
+@pytest.mark.parametrize("chunk_prices", [9, 2])
+def test_chunks_of_any_size_give_the_same_figures(scored, chunk_prices):
     _, series, found = scored
-    figures = ("points", "low", "high", "median", "biggest", "base", "gap", "multiples", "shape", "clusters",
-               "first_point", "last_point", "first_single", "last_single", "shelf_disclosed")
-    by_row = {int(r.key): r for r in ops.price_shape(series, gather_limit=9).collect()}
-    assert by_row.keys() == found.keys()
-    for p, r in by_row.items():
-        assert [r[f] for f in figures] == [found[p][f] for f in figures]
+    in_chunks = {int(r.key): r for r in ops.price_shape(series, chunk_prices=chunk_prices).collect()}
+    assert in_chunks.keys() == found.keys()
+    for p, r in in_chunks.items():
+        assert [r[f] for f in FIGURES] == [found[p][f] for f in FIGURES]
+
+
+def test_a_wide_product_is_gathered_by_no_task(spark):
+    """3,000 different prices of one product in chunks of about 200; clusters go on over their borders."""
+    amounts = [round(1 + 0.01 * n, 2) for n in range(3000)]
+    series = history(spark, amounts)
+    histogram, last = ops._chunked(ops.amount_histogram(series), 200)
+    sizes = [r["count"] for r in histogram.groupBy("chunk").count().collect()]
+    assert last + 1 == len(sizes) >= 12 and max(sizes) <= 260
+    whole, parts = ops.price_shape(series).first(), ops.price_shape(series, chunk_prices=200).first()
+    assert [parts[f] for f in FIGURES] == [whole[f] for f in FIGURES]
+    anchors, clusters = [], [float(c.anchor) for c in parts.clusters]
+    for a in amounts:
+        if not anchors or abs(a - anchors[-1]) / anchors[-1] > 0.03:
+            anchors.append(a)
+    assert clusters == anchors and sum(c.n for c in parts.clusters) == parts.points == 3000
 
 
 def test_classifier_quality(scored):
