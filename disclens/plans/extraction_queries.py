@@ -46,6 +46,7 @@ from disclens.functions.amounts import num_coerce
 from disclens.functions.dates import serial_date, ts_normalise
 from disclens.operators import bundles, extract_cells, extract_json, extract_text, findings, inferences
 from disclens.operators.disclosure import absent_completion, letters
+from disclens.operators.report_identities import report_identities as found_identities
 from disclens.plans.disclosure_queries import LETTER_SQL, case_of, quoted
 from disclens.plans.inputs import HEADER_NAMES, check, frame
 from disclens.plans.registry import query
@@ -1112,3 +1113,40 @@ def report_sections(t):
         "doc_id", F.col("page").cast("int").alias("page"), F.coalesce("section", F.lit("")).alias("section"),
         "scope_kind", "scope_id", "key", "value", F.col("unread").cast("int").alias("unread"),
     )
+
+
+REPORT_FIELD_ROWS = """select c_custkey as doc_id, 'Loyalty Store Visits Details' as section, 1 as section_no, 1 as field_no, 'Card_first_visit_dt' as key,
+      concat('201', c_custkey % 10, '-03-04') as value from {customer} where c_custkey % 3 <> 0
+    union all select c_custkey, 'Loyalty Store Visits Details', 1, 2, 'Card_nbr', concat('12', c_custkey) from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 1, 'Card_nbr', concat('12', c_custkey - c_custkey % 2) from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 2, 'Household_id', concat('H', c_nationkey) from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 3, 'Phone', case when c_custkey % 4 = 0 then 'I/ss' else concat('555-01', c_custkey % 90 + 10) end from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 4, 'First_nm', case when c_custkey % 5 = 0 then 'I/ss' else 'Ann' end from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 5, 'Last_nm', c_name from {customer}
+    union all select c_custkey, 'Loyalty Profile Details', 2, 6, 'Address', c_mktsegment from {customer} where c_custkey % 6 <> 0
+    union all select c_custkey, 'Loyalty Profile Details', 2, 7, 'State_cd', 'CA' from {customer} where c_custkey % 7 <> 0
+    union all select c_custkey, 'Preference Details', 3, 1, 'os_cust_id', concat('P', c_custkey) from {customer}
+    union all select c_custkey, 'Preference Details', 3, 2, 'os_cust_id', concat('P', c_custkey + c_custkey % 2) from {customer}
+    union all select c_custkey, 'Other Details', 4, 1, 'Email', 'x@y.z' from {customer}
+    union all select c_custkey, 'Request details', null, null, 'First name', 'Ann' from {customer}
+    union all select c_custkey, 'Request details', null, null, 'Last name', c_name from {customer}"""
+
+
+@query(
+    "ext_19_report_identities",
+    check(
+        f"""select distinct doc_id, id_type, value, scope, case when id_type = 'loyalty_card' then first_visit end as first_seen from (
+          select f.*, v.value as first_visit from (
+            select doc_id, case key when 'Card_nbr' then 'loyalty_card' when 'Household_id' then 'household' when 'Phone' then 'phone' else 'alternate_id' end as id_type,
+              value, case key when 'Household_id' then 'household' end as scope from field
+            where key in ('Card_nbr', 'Household_id', 'Phone', 'os_cust_id') and value <> 'I/ss'
+            union all select c_custkey, 'name', 'Ann ' || c_name, 'individual' from customer
+            union all select c_custkey, 'name', case when c_custkey % 5 = 0 then '' else 'Ann ' end || c_name, 'individual' from customer
+            union all select c_custkey, 'address', c_mktsegment || case when c_custkey % 7 <> 0 then ', CA' else '' end, 'household' from customer
+              where c_custkey % 6 <> 0) f
+          left join field v on v.doc_id = f.doc_id and v.key = 'Card_first_visit_dt')""",
+        "field", field=((), REPORT_FIELD_ROWS.replace("{customer}", "customer")),
+    ),
+)
+def report_identities(t):
+    return found_identities(t.spark.sql(REPORT_FIELD_ROWS, customer=t.read("customer")))

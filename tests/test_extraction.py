@@ -237,3 +237,17 @@ def test_values_of_a_report_come_back_as_printed(spark):
         ("Request details", "Date submitted"): ("2 / 2 2020", 1), ("Request details", "First name"): ("", 1), ("Request details", "Last name"): ("Roe", 1),
         ("Profile Details", "Card_nbr"): ("1133 AABB 1122 a   b", 1), ("Profile Details", "Phone"): ("", 1), ("Profile Details", "Email"): ("x@y.z", 2),
     }
+
+
+def test_identifiers_of_a_report(spark):
+    from disclens.operators.report_identities import report_identities
+
+    rows = [("Loyalty Store Visits Details", 1, 1, "Card_first_visit_dt", "2010-01-02"), ("Loyalty Profile Details", 2, 1, "Card_nbr", " 99 "),
+            ("Loyalty Profile Details", 2, 2, "Customer_id", "I/ss"), ("Other Details", 3, 1, "Email", "a@b.c"), ("Preference Details", 4, 1, "os_cust_id", "7"),
+            ("Loyalty Profile Details", 2, 3, "Address", "1 Main St"), ("Loyalty Profile Details", 2, 4, "Postal_zone_cd", "93721"),
+            ("Request details", None, None, "Last name", "Roe"), ("Loyalty Profile Details", 2, 5, "Household_id", "99")]
+    fields = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, section string, section_no long, field_no long, key string, value string")
+    assert {tuple(r)[1:] for r in report_identities(fields).collect()} == {
+        ("loyalty_card", "99", None, "2010-01-02"), ("alternate_id", "7", None, None), ("household", "99", "household", None),
+        ("name", "Roe", "individual", None), ("address", "1 Main St, 93721", "household", None),
+    }
