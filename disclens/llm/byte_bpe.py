@@ -1,23 +1,25 @@
-"""Byte-level BPE by Spark higher-order functions: merges folded over words, pieces joined back to bytes."""
+"""Byte-level BPE: merges folded over the distinct words of a block of texts by Spark higher-order functions."""
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable, Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from disclens.llm.shared import ID, TEXT, source_text
-from disclens.sources.staging import stage
+from disclens.llm.shared import ID, TEXT, rows_of, source_text
 
-FREQUENT_WORDS = 30_000
-SAMPLED_DOCUMENTS = 4_000
-LONGEST_FREQUENT = 64
+BLOCK_CHARACTERS = 1 << 24
+LONGEST_FOLDED = 512
 NO_RANK = 2147483647
-WORD_END, IDS_END, BUCKET_END = "\x02", "\x01", "\x03"
 PAIR_BITS = 18
-BUCKETS = 1 << 16
 _FACTORS = (1_640_531_527, 1_812_433_253)
 _SHIFTS = (13, 23)
 
@@ -110,80 +112,117 @@ def _with_ranks(body: str) -> str:
     return _bound("bytes", "bytes", _bound("pairs", "pairs", body))
 
 
-def split_words(text: Column, pattern: str) -> Column:
-    """The matches of the pattern, with Unicode white space as the rank files' library has it."""
-    return F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"), 1)
-
-
-def frequent_words(rows: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``(word, ids)``: the vocabulary's own words, and the most frequent of a bounded sample, folded.
-
-    They only spare folding the same word again and change no result. The
-    sample has at most ``SAMPLED_DOCUMENTS`` texts and gives at most
-    ``FREQUENT_WORDS`` words of up to ``LONGEST_FREQUENT`` bytes.
-    """
-    drawn = rows.select(ID).distinct().orderBy(F.xxhash64(F.lit("draw"), ID), ID).limit(SAMPLED_DOCUMENTS)
-    marks = F.lit(f"[{WORD_END}{IDS_END}{BUCKET_END}]")
-    words = (
-        rows.join(F.broadcast(drawn), ID)
-        .select(F.explode(split_words(F.col(TEXT), pattern)).alias("word"))
-        .where((F.octet_length("word") <= LONGEST_FREQUENT) & ~F.regexp_like("word", marks))
-        .groupBy("word")
-        .count()
-        .orderBy(F.desc("count"), "word")
-        .limit(FREQUENT_WORDS)
-    )
-    ranked = stage(words.select("word").repartition(64, "word")).withColumns(_rank_map(rank_path))
-    whole = []
-    for token, rank in ranks_of(rank_path).items():
-        try:
-            whole.append((token.decode(), str(rank)))
-        except UnicodeDecodeError:
+class Places(dict):
+    """Where a word's ids are: a vocabulary token at ``-1 - rank``, any other word at its place among the words to fold."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.words = ranks, []
+
+    def __missing__(self, word: str) -> int:
+        rank = self.ranks.get(word.encode())
+        if rank is None:
+            self.words.append(word)
+        self[word] = place = len(self.words) - 1 if rank is None else -1 - rank
+        return place
+
+
+def split_blocks(ranks: dict[bytes, int], pattern: str, characters: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of whole texts: their ids, their numbers of words, the place of each word, and the distinct words to fold."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = regex.compile(pattern).findall
+        kind, block = None, []
+
+        def whole_block() -> pa.RecordBatch:
+            flat = np.concatenate([at for _, at in block])
+            columns = [
+                pa.array([[i for i, _ in block]], pa.list_(kind)),
+                pa.array([[len(at) for _, at in block]], pa.list_(pa.int32())),
+                pa.array([flat.tobytes()], pa.binary()),
+                pa.array([places.words], pa.list_(pa.string())),
+            ]
+            return pa.record_batch(columns, names=["rows", "sizes", "places", "words"])
+
+        places, held = Places(ranks), 0
+        for batch in batches:
+            kind = batch.schema.field(ID).type
+            for row, text in rows_of([batch], ID, TEXT):
+                words = found(text)
+                block.append((row, np.fromiter(map(places.__getitem__, words), np.int32, len(words))))
+                held += len(text)
+                if held >= characters:
+                    yield whole_block()
+                    places, block, held = Places(ranks), [], 0
+        if block:
+            yield whole_block()
+
+    return split
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The tokens of one very long word: the same merges, the next one from a heap, so that the cost is that of a sort."""
+    ends = list(range(1, len(word) + 1))
+    before = list(range(-1, len(word) - 1))
+
+    def pair(at: int) -> tuple[int, int, int] | None:
+        if at < 0 or ends[at] >= len(word):
+            return None
+        end = ends[ends[at]]
+        rank = ranks.get(word[at:end])
+        return None if rank is None else (rank, at, end)
+
+    waiting = [p for p in map(pair, range(len(word) - 1)) if p]
+    heapify(waiting)
+    while waiting:
+        rank, at, end = heappop(waiting)
+        if pair(at) != (rank, at, end):
             continue
-    marked = set((WORD_END, IDS_END, BUCKET_END))
-    if any(len(w) > 1 and marked & set(w) for w, _ in whole):
-        raise ValueError("a token holds a separator of the word list")
-    own = rows.sparkSession.createDataFrame([w for w in whole if w[0] not in marked], "word string, ids string")
-    folded = ranked.select("word", F.expr(_with_ranks(_FOLD)).alias("ids"))
-    return own.union(folded.join(own, "word", "left_anti"))
-
-
-def word_table(words: DataFrame) -> str:
-    """The words with their ids as ``BUCKETS`` texts, each the words of one remainder of their hash."""
-    listed = words.select("word", "ids", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).toArrow()
-    buckets = [IDS_END] * BUCKETS
-    for word, ids, at in zip(*(listed.column(c).to_pylist() for c in ("word", "ids", "bucket"))):
-        buckets[at] += f"{word}{WORD_END}{ids}{IDS_END}"
-    return BUCKET_END.join(buckets)
-
-
-def token_texts(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``(source_document_id, ids)``: the token ids of every whole text, in decimal, joined by commas."""
-    rows = source_text(documents)
-    known = word_table(frequent_words(rows, rank_path, pattern))
-    entry = f"concat('{IDS_END}', word, '{WORD_END}')"
-    found = f"substring_index(substring_index(bucket, entry, -1), '{IDS_END}', 1)"
-    each = _bound("entry", entry, _bound("bucket", f"known[cast(xxhash64(word) & {BUCKETS - 1} as int)]", f"if(contains(bucket, entry), {found}, {_FOLD})"))
-    worded = rows.select(ID, split_words(F.col(TEXT), pattern).alias("words"))
-    ranked = worded.withColumns(_rank_map(rank_path) | _literals(known=(known, BUCKET_END, "string")))
-    body = _bound("known", "known", f"array_join(transform(words, word -> {each}), ',')")
-    return ranked.select(ID, F.expr(_with_ranks(body)).alias("ids"))
-
-
-def with_decoded(rows: DataFrame, rank_path: str) -> DataFrame:
-    """``n_tokens`` and the bytes of comma-joined token ids: each id's piece, one after another."""
-    pieces = {rank: token.hex() for token, rank in ranks_of(rank_path).items()}
-    listed = ",".join(pieces.get(n, "") for n in range(max(pieces) + 1))
-    joined = _bound("pieces", "pieces", "array_join(transform(split(ids, ','), id -> pieces[cast(id as int)]), '')")
-    return rows.withColumns(_literals(pieces=(listed, ",", "string"))).select(
-        ID,
-        F.when(F.col("ids") == "", F.lit(0)).otherwise(F.size(F.split("ids", ","))).cast("long").alias("n_tokens"),
-        "ids",
-        F.when(F.col("ids") == "", F.lit(b"")).otherwise(F.unhex(F.expr(joined))).alias("decoded"),
-    )
-
-
-def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+        ends[ends[at]], ends[at] = len(word), end
+        if end < len(word):
+            before[end] = at
+        for p in (pair(before[at]), pair(at)):
+            if p:
+                heappush(waiting, p)
+    tokens, at = [], 0
+    while at < len(word):
+        tokens.append(ranks[word[at : ends[at]]])
+        at = ends[at]
+    return tokens
+
+
+def join_blocks(ranks: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's ids in decimal, and the pieces of these ids one after another, from its block's folded words."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {str(rank): token for token, rank in ranks.items()}
+        # Counted from the end, so that the place -1 - rank is the token of that rank.
+        by_rank = [str(rank) for rank in range(max(ranks.values()), -1, -1)]
+        for batch in batches:
+            kind = batch.schema.field("rows").type.value_type
+            for n in range(batch.num_rows):
+                rows, sizes, words, folded = (batch.column(c)[n].as_py() for c in ("rows", "sizes", "words", "folded"))
+                told = [f or ",".join(map(str, merged(w.encode(), ranks))) for w, f in zip(words, folded)]
+                listed = [t.split(",") for t in told]
+                texts = told + by_rank
+                decoded = [b"".join(map(pieces.__getitem__, ids)) for ids in listed] + [pieces.get(r, b"") for r in by_rank]
+                counts = np.ones(len(texts), np.int64)
+                counts[: len(told)] = list(map(len, listed))
+                places = np.frombuffer(batch.column("places")[n].as_buffer(), np.int32)
+                n_tokens, ids, back, start = [], [], [], 0
+                for size in sizes:
+                    own = places[start : start + size]
+                    start += size
+                    at = own.tolist()
+                    n_tokens.append(int(counts[own].sum()))
+                    ids.append(",".join(map(texts.__getitem__, at)))
+                    back.append(b"".join(map(decoded.__getitem__, at)))
+                columns = [pa.array(rows, kind), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.binary())]
+                yield pa.record_batch(columns, names=[ID, "n_tokens", "ids", "decoded"])
+
+    return join
+
+
+def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str, characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """Byte-level BPE tokens of every whole source text, and the bytes they decode to.
 
     ``documents(source_document_id, text)``; other columns are ignored.
@@ -192,9 +231,23 @@ def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str) -> Dat
     without special tokens. Returns ``(source_document_id, n_tokens, ids,
     decoded)``: the ids in decimal joined by commas, and the decoded bytes.
 
-    No row leaves its place: there is no shuffle beside the bounded sample of
-    frequent words. A missing or empty text has no tokens; rows that repeat are
-    encoded one by one; an empty table gives no rows. A word's cost grows with
-    the square of its length in bytes.
+    A task takes its texts in blocks of about ``characters`` characters, or of
+    one longer text. The distinct words of a block that are no token themselves
+    are folded once, by higher-order functions over a literal rank map, and
+    their ids go to all their places in the block. No row leaves its task, so
+    nothing is shuffled, and a lost executor costs its own blocks.
+
+    A fold costs the square of a word's length: words of more than
+    ``LONGEST_FOLDED`` bytes are merged from a heap in place of it, to the same
+    tokens. A missing or empty text has no tokens; rows that repeat are encoded
+    one by one; an empty table gives no rows.
     """
-    return with_decoded(token_texts(documents, rank_path, pattern), rank_path)
+    ranks = ranks_of(rank_path)
+    kind = documents.schema[ID].dataType
+    block = T.StructType().add("rows", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType()))
+    block = block.add("places", "binary").add("words", T.ArrayType(T.StringType()))
+    blocks = source_text(documents).mapInArrow(split_blocks(ranks, pattern, characters), block)
+    each = f"transform(words, word -> if(octet_length(word) > {LONGEST_FOLDED}, '', {_FOLD}))"
+    folded = blocks.withColumns(_rank_map(rank_path)).select("rows", "sizes", "places", "words", F.expr(_with_ranks(each)).alias("folded"))
+    token = T.StructType().add(ID, kind).add("n_tokens", "long").add("ids", "string").add("decoded", "binary")
+    return folded.mapInArrow(join_blocks(ranks), token)
