@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from disclens.llm.shared import ID, TEXT, rows_of, source_text
+from disclens.sources.staging import stage
 
-BLOCK_CHARACTERS = 1 << 24
+BLOCK_CHARACTERS = 1 << 23
+FREQUENT_WORDS = 100_000
+SAMPLED_DOCUMENTS = 16_000
+LONGEST_FREQUENT = 64
 LONGEST_FOLDED = 512
 NO_RANK = 2147483647
 PAIR_BITS = 18
@@ -71,23 +76,18 @@ def _place(way: int) -> str:
     return f"pairs[cast(shiftright(key * {_FACTORS[way]}L, {_SHIFTS[way]}) & {(1 << PAIR_BITS) - 1} as int)]"
 
 
-def _ranks(keys: str) -> str:
-    """SQL for the ranks of pairs of tokens, each pair as one number; ``pairs`` is the rank map."""
-    hit = lambda e, other: f"if(shiftright({e}, 16) = key, cast({e} & 65535 as int), {other})"
-    second = f"transform(array({_place(1)}), f -> {hit('f', str(NO_RANK))})[0]"
-    return f"transform({keys}, key -> transform(array({_place(0)}), e -> {hit('e', second)})[0])"
+# The rank of a pair of tokens, the pair as one number ``key``; ``pairs`` is the rank map.
+_RANK = str(NO_RANK)
+for _way in (1, 0):
+    _RANK = f"if(shiftright({_place(_way)}, 16) = key, cast({_place(_way)} & 65535 as int), {_RANK})"
 
-
-# Folding a word: its bytes as tokens between two sentinels, and the rank of each pair of neighbours. A step takes the
-# least rank, the first of equal ones, puts the merged token there and looks its two new pairs up.
-_FOLD = f"""array_join(cast(aggregate(
-  sequence(1, greatest(octet_length(word) - 1, 1)),
-  transform(array(concat(array(-1), transform(split(decode(encode(word, 'UTF-8'), 'ISO-8859-1'), ''), c -> bytes[ascii(c)]), array(-1))),
-    ids -> struct(ids as ids, {_ranks('transform(sequence(0, size(ids) - 2), i -> ids[i] * 65536L + ids[i + 1])')} as ranks))[0],
+# Folding a word, given as its bytes' tokens between two sentinels and the rank of each pair of neighbours. A step takes
+# the least rank, the first of equal ones, puts the merged token there and looks its two new pairs up.
+_FOLD = f"""array_join(cast(aggregate(sequence(1, greatest(size(word.ids) - 3, 1)), word,
   (s, n) -> transform(array(array_min(s.ranks)), m -> if(m = {NO_RANK}, s,
     transform(array(cast(array_position(s.ranks, m) as int)), p -> struct(
       concat(slice(s.ids, 1, p - 1), array(m), slice(s.ids, p + 2, size(s.ids))) as ids,
-      concat(slice(s.ranks, 1, p - 2), {_ranks('array(s.ids[p - 2] * 65536L + m, m * 65536L + s.ids[p + 1])')},
+      concat(slice(s.ranks, 1, p - 2), transform(array(s.ids[p - 2] * 65536L + m, m * 65536L + s.ids[p + 1]), key -> {_RANK}),
         slice(s.ranks, p + 2, size(s.ranks))) as ranks))[0]))[0],
   s -> slice(s.ids, 2, size(s.ids) - 2)) as array<string>), ',')"""
 
@@ -102,36 +102,102 @@ def _literals(**texts: tuple[str, str, str]) -> dict[str, Column]:
     return {n: F.split(F.lit(t), separator).cast(f"array<{kind}>") for n, (t, separator, kind) in texts.items()}
 
 
-def _rank_map(rank_path: str) -> dict[str, Column]:
-    own = ranks_of(rank_path)
-    singles = ",".join(str(own[bytes([b])]) for b in range(256))
-    return _literals(bytes=(singles, ",", "int"), pairs=(pair_table(rank_path), ",", "bigint"))
+def _folded(rows: DataFrame, rank_path: str, body: str, *kept: str) -> DataFrame:
+    """The kept columns, and ``folded``, SQL that may use ``_FOLD``."""
+    mapped = rows.withColumns(_literals(pairs=(pair_table(rank_path), ",", "bigint")))
+    return mapped.select(*kept, F.expr(_bound("pairs", "pairs", body)).alias("folded"))
 
 
-def _with_ranks(body: str) -> str:
-    return _bound("bytes", "bytes", _bound("pairs", "pairs", body))
+def starts(words: list[bytes], ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
+    """Words before any merge: their bytes as tokens between two sentinels, and the ranks of neighbours."""
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    pair = np.full((256, 256), NO_RANK, np.int32)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            pair[token[0], token[1]] = rank
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.zeros(len(words) + 1, np.int32)
+    np.cumsum(sizes + 2, out=first[1:])
+    ids = np.full(first[-1], -1, np.int32)
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = inner[first[1:] - 1] = False
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ids[inner] = single[flat]
+    # A word of n bytes has n - 1 pairs: the places of its bytes but the last.
+    own = inner.copy()
+    own[first[1:] - 2] = False
+    byte = np.zeros(first[-1] + 1, np.uint8)
+    byte[:-1][inner] = flat
+    at = np.flatnonzero(own)
+    cells = np.full(first[-1], NO_RANK, np.int32)
+    cells[at] = pair[byte[at], byte[at + 1]]
+    # One rank less than ids: the last sentinel has no pair.
+    gone = np.ones(first[-1], bool)
+    gone[first[1:] - 1] = False
+    return pa.ListArray.from_arrays(first, ids), pa.ListArray.from_arrays(first - np.arange(len(first), dtype=np.int32), cells[gone])
+
+
+def frequent_words(rows: DataFrame, rank_path: str, pattern: str) -> dict[str, str]:
+    """The most frequent words of a bounded sample, with their ids in decimal joined by commas.
+
+    They only spare folding the same word in many blocks and change no result.
+    The sample has at most ``SAMPLED_DOCUMENTS`` texts and gives at most
+    ``FREQUENT_WORDS`` words of up to ``LONGEST_FREQUENT`` bytes.
+    """
+    ranks = ranks_of(rank_path)
+    drawn = rows.select(ID).distinct().orderBy(F.xxhash64(F.lit("draw"), ID), ID).limit(SAMPLED_DOCUMENTS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = regex.compile(pattern).findall, Counter()
+        for (text,) in rows_of(batches, TEXT):
+            counts.update(found(text))
+        own = [(w, n) for w, n in counts.items() if len(e := w.encode()) <= LONGEST_FREQUENT and e not in ranks]
+        yield pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = starts([w.encode() for w in batch.column("word").to_pylist()], ranks)
+            yield pa.record_batch([batch.column("word"), ids, own], names=["word", "ids", "ranks"])
+
+    counted = rows.join(F.broadcast(drawn), ID).select(TEXT).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    most = stage(counted.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word").repartition(64, "word"))
+    started = most.mapInArrow(start, "word string, ids array<int>, ranks array<int>").select("word", F.struct("ids", "ranks").alias("whole"))
+    listed = _folded(started, rank_path, _bound("word", "whole", _FOLD), "word").toArrow()
+    return dict(zip(listed.column("word").to_pylist(), listed.column("folded").to_pylist()))
 
 
 class Places(dict):
-    """Where a word's ids are: a vocabulary token at ``-1 - rank``, any other word at its place among the words to fold."""
+    """Where a word's ids are: a vocabulary token at ``-1 - rank``, any other word at its place among the block's words."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.words = ranks, []
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, str]):
+        self.ranks, self.known = ranks, known
+        self.told, self.fold = [], []
 
     def __missing__(self, word: str) -> int:
-        rank = self.ranks.get(word.encode())
-        if rank is None:
-            self.words.append(word)
-        self[word] = place = len(self.words) - 1 if rank is None else -1 - rank
+        text = self.known.get(word)
+        if text is None:
+            own = word.encode()
+            rank = self.ranks.get(own)
+            if rank is not None:
+                self[word] = place = -1 - rank
+                return place
+            if len(own) > LONGEST_FOLDED:
+                text = ",".join(map(str, merged(own, self.ranks)))
+            else:
+                self.fold.append(own)
+        self.told.append(text)
+        self[word] = place = len(self.told) - 1
         return place
 
 
-def split_blocks(ranks: dict[bytes, int], pattern: str, characters: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of whole texts: their ids, their numbers of words, the place of each word, and the distinct words to fold."""
+def split_blocks(
+    ranks: dict[bytes, int], known: dict[str, str], pattern: str, characters: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of whole texts: their ids and numbers of words, the place of each word, and the distinct words: told or to fold."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern).findall
-        kind, block = None, []
+        kind, block, held, places = None, [], 0, Places(ranks, known)
 
         def whole_block() -> pa.RecordBatch:
             flat = np.concatenate([at for _, at in block])
@@ -139,11 +205,11 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, characters: int) -> Call
                 pa.array([[i for i, _ in block]], pa.list_(kind)),
                 pa.array([[len(at) for _, at in block]], pa.list_(pa.int32())),
                 pa.array([flat.tobytes()], pa.binary()),
-                pa.array([places.words], pa.list_(pa.string())),
+                pa.array([places.told], pa.list_(pa.string())),
+                *(pa.ListArray.from_arrays(np.array([0, len(a)], np.int32), a) for a in starts(places.fold, ranks)),
             ]
-            return pa.record_batch(columns, names=["rows", "sizes", "places", "words"])
+            return pa.record_batch(columns, names=["rows", "sizes", "places", "told", "ids", "ranks"])
 
-        places, held = Places(ranks), 0
         for batch in batches:
             kind = batch.schema.field(ID).type
             for row, text in rows_of([batch], ID, TEXT):
@@ -152,7 +218,7 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, characters: int) -> Call
                 held += len(text)
                 if held >= characters:
                     yield whole_block()
-                    places, block, held = Places(ranks), [], 0
+                    block, held, places = [], 0, Places(ranks, known)
         if block:
             yield whole_block()
 
@@ -200,13 +266,12 @@ def join_blocks(ranks: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             kind = batch.schema.field("rows").type.value_type
             for n in range(batch.num_rows):
-                rows, sizes, words, folded = (batch.column(c)[n].as_py() for c in ("rows", "sizes", "words", "folded"))
-                told = [f or ",".join(map(str, merged(w.encode(), ranks))) for w, f in zip(words, folded)]
-                listed = [t.split(",") for t in told]
-                texts = told + by_rank
-                decoded = [b"".join(map(pieces.__getitem__, ids)) for ids in listed] + [pieces.get(r, b"") for r in by_rank]
-                counts = np.ones(len(texts), np.int64)
-                counts[: len(told)] = list(map(len, listed))
+                rows, sizes, told, folded = (batch.column(c)[n].as_py() for c in ("rows", "sizes", "told", "folded"))
+                fold = iter(folded)
+                texts = [next(fold) if t is None else t for t in told]
+                decoded = [b"".join(map(pieces.__getitem__, t.split(","))) for t in texts] + [pieces.get(r, b"") for r in by_rank]
+                counts = np.array([t.count(",") + 1 for t in texts] + [1] * len(by_rank), np.int64)
+                texts += by_rank
                 places = np.frombuffer(batch.column("places")[n].as_buffer(), np.int32)
                 n_tokens, ids, back, start = [], [], [], 0
                 for size in sizes:
@@ -242,12 +307,12 @@ def encode_and_decode(documents: DataFrame, rank_path: str, pattern: str, charac
     tokens. A missing or empty text has no tokens; rows that repeat are encoded
     one by one; an empty table gives no rows.
     """
-    ranks = ranks_of(rank_path)
-    kind = documents.schema[ID].dataType
-    block = T.StructType().add("rows", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType()))
-    block = block.add("places", "binary").add("words", T.ArrayType(T.StringType()))
-    blocks = source_text(documents).mapInArrow(split_blocks(ranks, pattern, characters), block)
-    each = f"transform(words, word -> if(octet_length(word) > {LONGEST_FOLDED}, '', {_FOLD}))"
-    folded = blocks.withColumns(_rank_map(rank_path)).select("rows", "sizes", "places", "words", F.expr(_with_ranks(each)).alias("folded"))
+    ranks, rows = ranks_of(rank_path), source_text(documents)
+    known = frequent_words(rows, rank_path, pattern)
+    kind, numbers = documents.schema[ID].dataType, T.ArrayType(T.IntegerType())
+    block = T.StructType().add("rows", T.ArrayType(kind)).add("sizes", numbers).add("places", "binary").add("told", T.ArrayType(T.StringType()))
+    block = block.add("ids", T.ArrayType(numbers)).add("ranks", T.ArrayType(numbers))
+    blocks = rows.mapInArrow(split_blocks(ranks, known, pattern, characters), block)
+    folded = _folded(blocks, rank_path, f"transform(arrays_zip(ids, ranks), word -> {_FOLD})", "rows", "sizes", "places", "told")
     token = T.StructType().add(ID, kind).add("n_tokens", "long").add("ids", "string").add("decoded", "binary")
     return folded.mapInArrow(join_blocks(ranks), token)

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from disclens.llm import byte_bpe
 from disclens.llm.byte_bpe import LONGEST_FOLDED, cuckoo, encode_and_decode, merged, ranks_of
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,8 +25,9 @@ def test_every_entry_lies_at_one_of_its_places():
         cuckoo([(n, (0, 1)) for n in range(3)], 8)
 
 
-@pytest.mark.parametrize("characters", [1, 2_000, 1 << 24])
-def test_equals_the_library_and_decodes_to_the_text(spark, library, characters):
+@pytest.mark.parametrize("characters, frequent", [(1, 5), (2_000, 0), (1 << 24, 100_000)])
+def test_equals_the_library_and_decodes_to_the_text(spark, library, monkeypatch, characters, frequent):
+    monkeypatch.setattr(byte_bpe, "FREQUENT_WORDS", frequent)
     rng = random.Random(2)
     alphabet = list("abcdefghijklmnopqrstuvwxyzABC  \n\n'\"\\,.-0123456789äöüßéñçàの日本語привет😀") + ["\x00", "\x01", " ", " ", "\x85", "\x1c", "'s", "<|endoftext|>", "́"]
     texts = [None, "", " ", "a", "\x01", "\x01\x01 \x01x", "'", "\\", "aa" * 700, "x" * 99, "don't I'LL we're '"]
