@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from disclens.llm.shared import ID, TEXT, rows_of, source_text
 from disclens.sources.staging import stage
 
-BLOCK_CHARACTERS = 1 << 23
+BLOCK_CHARACTERS = 1 << 22
+# Rows held as Python values at a time.
+ROWS_AT_ONCE = 128
 FREQUENT_WORDS = 100_000
 SAMPLED_DOCUMENTS = 16_000
 LONGEST_FREQUENT = 64
@@ -212,7 +214,8 @@ def split_blocks(
 
         for batch in batches:
             kind = batch.schema.field(ID).type
-            for row, text in rows_of([batch], ID, TEXT):
+            parts = (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+            for row, text in rows_of(parts, ID, TEXT):
                 words = found(text)
                 block.append((row, np.fromiter(map(places.__getitem__, words), np.int32, len(words))))
                 held += len(text)
@@ -273,16 +276,16 @@ def join_blocks(ranks: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]],
                 counts = np.array([t.count(",") + 1 for t in texts] + [1] * len(by_rank), np.int64)
                 texts += by_rank
                 places = np.frombuffer(batch.column("places")[n].as_buffer(), np.int32)
-                n_tokens, ids, back, start = [], [], [], 0
-                for size in sizes:
-                    own = places[start : start + size]
-                    start += size
-                    at = own.tolist()
-                    n_tokens.append(int(counts[own].sum()))
-                    ids.append(",".join(map(texts.__getitem__, at)))
-                    back.append(b"".join(map(decoded.__getitem__, at)))
-                columns = [pa.array(rows, kind), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.binary())]
-                yield pa.record_batch(columns, names=[ID, "n_tokens", "ids", "decoded"])
+                ends = np.cumsum([0, *sizes])
+                for first in range(0, len(rows), ROWS_AT_ONCE):
+                    own = [places[a:b] for a, b in zip(ends[first:], ends[first + 1 : first + ROWS_AT_ONCE + 1])]
+                    columns = [
+                        pa.array(rows[first : first + len(own)], kind),
+                        pa.array([counts[at].sum() for at in own], pa.int64()),
+                        pa.array([",".join(map(texts.__getitem__, at.tolist())) for at in own], pa.string()),
+                        pa.array([b"".join(map(decoded.__getitem__, at.tolist())) for at in own], pa.binary()),
+                    ]
+                    yield pa.record_batch(columns, names=[ID, "n_tokens", "ids", "decoded"])
 
     return join
 
